@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, simhash
+from . import bpe, langid, simhash, substrings
 
-MODULES = (simhash, langid, bpe)
+MODULES = (simhash, substrings, langid, bpe)
 
 
 def queries() -> dict:
