@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, simhash, substrings
+from . import bpe, chat, decontaminate, langid, sharding, simhash, substrings
 
-MODULES = (simhash, substrings, langid, bpe)
+MODULES = (decontaminate, simhash, chat, substrings, langid, bpe, sharding)
 
 
 def queries() -> dict:
