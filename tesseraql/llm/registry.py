@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, brown, chat, decontaminate, langid, quality, sharding, simhash, substrings
+from . import bpe, brown, chat, decontaminate, langid, licenses, quality, sharding, simhash, substrings
 
-MODULES = (decontaminate, simhash, chat, substrings, langid, brown, bpe, quality, sharding)
+MODULES = (licenses, decontaminate, simhash, chat, substrings, langid, brown, bpe, quality, sharding)
 
 
 def queries() -> dict:
