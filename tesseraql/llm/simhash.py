@@ -152,8 +152,9 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row's id with ``fp`` (signed long) and ``component_id``, the least id its links reach."""
-    rows = stored(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "simhash-rows")
+    """Every row's id with ``fp`` (signed long), ``text_hash`` (XXH64 of the text) and ``component_id``, the least id its links reach."""
+    marked = fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")))
+    rows = stored(marked.select("doc_id", "text_hash", "fp"), "simhash-rows")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = links(distinct.select("fp"))
     joined = components(found)
@@ -162,7 +163,25 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = of.join(least, "root").where("component_id is not null and (least is null or component_id <> least)").select("fp", "component_id")
     named = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of the frame that stay: of each component the one with the least id (of equal ids the least text
+    hash; of rows that repeat both, one)."""
+    marked = near_duplicates(df, doc_id, text)
+    first = F.min(F.struct("doc_id", "text_hash", "fp"))
+    chosen = marked.where("component_id is null or doc_id = component_id").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("of")).agg(first.alias("r"))
+    times = marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__times")).where("__times > 1")
+    keys = chosen.select(F.col("r.doc_id").alias("__id"), F.col("r.text_hash").alias("__hash"))
+    again = times.select(F.col("doc_id").alias("__id2"), F.col("text_hash").alias("__hash2"))
+    keyed = df.withColumn("__text_hash", F.xxhash64(text))
+    id_ = F.col(doc_id)
+    stay = keyed.join(keys, id_.eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
+    same = id_.eqNullSafe(F.col("__id2")) & (F.col("__text_hash") == F.col("__hash2"))
+    single = stay.join(again, same, "left_anti")
+    repeated = stay.join(again, same, "left_semi").dropDuplicates([doc_id, "__text_hash"])
+    return single.union(repeated).drop("__text_hash")
 
 
 def hexadecimal(fp: str) -> Column:
