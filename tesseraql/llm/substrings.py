@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import adding, table, without
-from .scratch import stored
+from .scratch import drop, stored
 from .tokens import Words, mix, stream, text_chunks
 
 WINDOW = 35
@@ -261,6 +261,8 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     chunks = stored(docs.select("__key", "__salt", text).mapInArrow(_chunks(window), "name long, words long, key long, salt int, rank int"), "substring-chunks")
     names = chunks.groupBy("name").agg(F.count("*").alias("n"), F.min("words").alias("a"), F.max("words").alias("b")).where("n > 1").select("name", F.when(F.col("a") == F.col("b"), 1).otherwise(0).alias("settled"))
     flagged = chunks.join(names, "name").groupBy(F.col("key").alias("__key"), F.col("salt").alias("__salt")).agg(F.collect_set((F.col("rank") * 2 + F.col("settled")).cast("int")).alias("__shared"))
+    flagged = stored(flagged, "substring-shared")  # read twice below
+    drop(chunks)
     joined = docs.join(flagged, mine, "left")
     windows = stored(joined.where("__shared is not null").select("__key", "__salt", text, "__shared").mapInArrow(_open_windows(window), "h1 long, h2 long, key long, salt int, at int"), "substring-windows")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
