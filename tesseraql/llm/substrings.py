@@ -260,12 +260,17 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     mine = ["__key", "__salt"]
     chunks = stored(docs.select("__key", "__salt", text).mapInArrow(_chunks(window), "name long, words long, key long, salt int, rank int"), "substring-chunks")
     names = chunks.groupBy("name").agg(F.count("*").alias("n"), F.min("words").alias("a"), F.max("words").alias("b")).where("n > 1").select("name", F.when(F.col("a") == F.col("b"), 1).otherwise(0).alias("settled"))
+    # a table of its own: joined straight to its source, the names would be dealt as the counts were, and
+    # a name in a large part of the rows could not be split
+    names = stored(names, "substring-names")
     flagged = chunks.join(names, "name").groupBy(F.col("key").alias("__key"), F.col("salt").alias("__salt")).agg(F.collect_set((F.col("rank") * 2 + F.col("settled")).cast("int")).alias("__shared"))
     flagged = stored(flagged, "substring-shared")  # read twice below
     drop(chunks)
+    drop(names)
     joined = docs.join(flagged, mine, "left")
     windows = stored(joined.where("__shared is not null").select("__key", "__salt", text, "__shared").mapInArrow(_open_windows(window), "h1 long, h2 long, key long, salt int, at int"), "substring-windows")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    twice = stored(twice, "substring-twice")  # as above
     hits = windows.join(twice, ["h1", "h2"]).groupBy(F.col("key").alias("__key"), F.col("salt").alias("__salt")).agg(F.collect_set("at").alias("__at"))
     schema = adding(base, (kept, T.StringType()), (n_words, T.LongType()), (n_removed, T.LongType()))
     final = docs.join(flagged, mine, "left").join(hits, mine, "left").drop(*mine)
