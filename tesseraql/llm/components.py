@@ -14,7 +14,8 @@ from .scratch import cut
 
 def _star(pairs: DataFrame, small: bool) -> DataFrame:
     """pairs (a, b): neighbours b of a.  Links neighbours to the least of a and its neighbours."""
-    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # cut, so that the join deals both sides anew and Spark can split a node with very many neighbours
+    least = cut(pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
     linked = pairs.join(least, "a")
     out = linked.where((F.col("b") > F.col("a")) & (F.col("b") != F.col("m"))).select(F.col("b").alias("x"), F.col("m").alias("y"))
     if small:

@@ -163,6 +163,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = of.join(least, "root").where("component_id is not null and (least is null or component_id <> least)").select("fp", "component_id")
     named = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    named = stored(named, "simhash-named")  # dealt anew for the join, so that a fingerprint with many rows can be split
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
