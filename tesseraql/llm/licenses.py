@@ -80,6 +80,7 @@ NOTICES: dict[str, tuple[str, ...]] = {
     ),
     "proprietary": (
         "Copyright by the publisher. All rights reserved.",
+        "All rights reserved.",
         "No part of this publication may be copied without the written permission of the copyright holder.",
     ),
 }

@@ -147,4 +147,36 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), kept().alias("kept"), "failed")
 
 
+_ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS r FROM documents
+), words AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d
+), windows AS (
+  SELECT r, k, word || chr(1) || lead(word, 1) OVER o || chr(1) || lead(word, 2) OVER o AS x FROM words WINDOW o AS (PARTITION BY r ORDER BY k)
+), twice AS (
+  SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, x) AS n FROM windows WHERE x IS NOT NULL) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT k + d) AS n FROM twice, (VALUES (0), (1), (2)) AS t(d) GROUP BY r
+), lines AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS again
+  FROM (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), kinds AS (
+  SELECT r, count(*) AS n_words, sum(length(word)) AS chars,
+         count(*) FILTER (WHERE regexp_matches(word, '[A-Za-z\x{C0}-\x{10FFFF}]')) AS letters,
+         count(*) FILTER (WHERE regexp_matches(word, '[A-Z]') AND NOT regexp_matches(word, '[a-z]')) AS uppers,
+         count(*) FILTER (WHERE word = '|') AS pipes, count(*) FILTER (WHERE word = before) AS equal
+  FROM (SELECT r, word, lag(word) OVER (PARTITION BY r ORDER BY k) AS before FROM words) GROUP BY r
+), m AS (
+  SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(chars, 0) AS word_chars,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(again, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+         coalesce(n_lines, 0) AS n_lines, coalesce(letters, 0) AS n_letter_words, coalesce(uppers, 0) AS n_upper_words, coalesce(pipes, 0) AS n_pipe_words, coalesce(equal, 0) AS n_equal_neighbours
+  FROM d LEFT JOIN kinds USING (r) LEFT JOIN lines USING (r) LEFT JOIN covered c USING (r)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, (failed = 0) AS kept, CAST(failed AS BIGINT) AS failed
+FROM (SELECT *, {bits} AS failed FROM m)
+"""
 QUERIES = {"op9_quality": op9_quality}
+ORACLE_SQL = {"op9_quality": _ORACLE.replace("{bits}", " + ".join(f"CASE WHEN {condition} THEN {1 << n} ELSE 0 END" for n, (_, condition) in enumerate(RULES)))}

@@ -282,4 +282,23 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+_ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS r FROM documents
+), windows AS (
+  SELECT r, k, array_to_string(w[k : k + 34], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35)
+), twice AS (
+  SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY x) AS n FROM windows) WHERE n > 1
+), words AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d
+), marked AS (
+  SELECT r, word, k, max(hit) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words LEFT JOIN (SELECT r, k, k AS hit FROM twice) USING (r, k)
+), sums AS (
+  SELECT r, count(*) FILTER (WHERE gone) AS n, string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN sums USING (r)
+"""
 QUERIES = {"op5_substrings": op5_substrings}
+ORACLE_SQL = {"op5_substrings": _ORACLE}
