@@ -271,7 +271,48 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Licen
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumns({"probability": F.round("probability", 6), "similarity": F.round("similarity", 6)})
+
+
+def oracle() -> str:
+    """The same scan as SQL for DuckDB, with the fitted weights written out."""
+    model = trained()
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    listed = lambda xs: "[" + ", ".join(xs) + "]"
+    count = len(model.classes)
+    weights = ", ".join(f"({text(f)}, {listed(map(repr, v))})" for f, v in model.weights.items())
+    notices = ", ".join(f"({text(fam)}, {listed(text(f) for f in sorted(features(t)) if ' ' in f)})" for fam, ts in NOTICES.items() for t in ts)
+    anchored = " OR ".join(f"contains(lower(notice), {text(a)})" for a in ANCHORS)
+    z = listed(f"(coalesce(sum(v[{k + 1}]), 0) + {model.bias[k]!r}) / {model.temperature!r}" for k in range(count))
+    return f"""
+WITH weights(f, v) AS (VALUES {weights}), notices(fam, p) AS (VALUES {notices}),
+lines AS (
+  SELECT doc_id, generate_subscripts(s, 1) - 1 AS paragraph, unnest(s) AS notice
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)
+), found AS (SELECT * FROM lines WHERE {anchored}),
+each AS (
+  SELECT notice, list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS features
+  FROM (SELECT notice, list_filter(string_split(regexp_replace(lower(notice), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
+        FROM (SELECT DISTINCT notice FROM found))
+), sums AS (
+  SELECT notice, any_value(features) AS features, {z} AS z
+  FROM (SELECT notice, features, unnest(CASE WHEN len(features) = 0 THEN [''] ELSE features END) AS f FROM each) LEFT JOIN weights USING (f) GROUP BY notice
+), best AS (
+  SELECT notice, features, {listed(map(text, model.classes))}[list_position(z, list_max(z))] AS fam,
+         1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS probability
+  FROM sums
+), judged AS (
+  SELECT b.notice, b.fam, b.probability, max(len(list_intersect(b.features, n.p)) / len(n.p)) AS similarity
+  FROM best b JOIN notices n USING (fam) GROUP BY b.notice, b.fam, b.probability
+)
+SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph,
+       CASE WHEN probability >= {model.threshold!r} AND similarity >= {CONFIRMED!r} THEN fam ELSE 'unknown' END AS family,
+       round(probability, 6) AS probability, round(similarity, 6) AS similarity,
+       probability >= {model.threshold!r} AND similarity >= {CONFIRMED!r} AS confirmed, notice
+FROM found JOIN judged USING (notice)
+"""
 
 
 QUERIES = {"op1_licenses": op1_licenses}
+ORACLE_SQL = {"op1_licenses": oracle}

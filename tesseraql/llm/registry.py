@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
+    return {name: sql() if callable(sql) else sql for m in MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
