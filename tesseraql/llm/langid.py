@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +31,14 @@ SAMPLE_SYMBOLS = 40_000
 SAMPLE_DOCS = 150
 #: Texts with at most so many symbols in all are parsed side by side.
 SIDE_BY_SIDE = 2_000_000
-_FEW = 48
+#: Longest piece of a text that is parsed in one go.
+PIECE = 2048
+_GAPS = regex.compile(r"\P{L}+")
 
 
 def symbols(text: str) -> str:
     """Letters in lower case, anything else as single blanks."""
-    return " ".join("".join([c if c.isalpha() else " " for c in text.lower()]).split())
+    return _GAPS.sub(" ", text.lower()).strip()
 
 
 class _Automaton:
@@ -71,7 +74,10 @@ class _Automaton:
 
 
 class CrossParser:
-    """One table of transitions for the automata of all languages."""
+    """One table of transitions for the automata of all languages.
+
+    A state is the place of its row in the flat table, so the next one is table[state + symbol].
+    """
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
@@ -84,8 +90,8 @@ class CrossParser:
             part = np.full((len(steps), self.width), -1, np.int32)
             for n, s in enumerate(steps):
                 for c, to in s.items():
-                    part[n, self.code[c]] = to + base
-            roots.append(base)
+                    part[n, self.code[c]] = (to + base) * self.width
+            roots.append(base * self.width)
             base += len(steps)
             parts.append(part)
         self.table = np.concatenate(parts).reshape(-1) if parts else np.zeros(0, np.int32)
@@ -104,53 +110,87 @@ class CrossParser:
         return np.where(points < len(self._known), self._known[np.minimum(points, len(self._known) - 1)], 0).astype(np.uint16)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Number of phrases of each text for each language."""
+        """Number of phrases of each text for each language.
+
+        Long texts are cut into pieces that are parsed side by side as if each began a phrase.  A
+        piece is then entered once more in the state its predecessor really ended in, and followed
+        until both parses are in one state; from there on they are the same.
+        """
+        pieces, owner = [], []
+        for k, t in enumerate(texts):
+            for at in range(0, max(1, len(t)), PIECE):
+                pieces.append(t[at : at + PIECE])
+                owner.append(k)
+        count, state = self._parse(pieces)
+        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        np.add.at(out, np.array(owner, np.int64), count)
+        last = {}
+        for n, k in enumerate(owner):
+            last[k] = n
+            if n and owner[n - 1] == k:
+                symbols_ = pieces[n].tolist()
+                for lang, root in enumerate(self.roots.tolist()):
+                    entered = int(state[n - 1, lang])
+                    if entered != root:
+                        more, end, met = self._follow(symbols_, entered, root)
+                        out[k, lang] += more
+                        if not met:
+                            state[n, lang] = end
+        for k, n in last.items():
+            out[k] += state[n] != self.roots
+        return out
+
+    def _follow(self, piece: list[int], real: int, root: int) -> tuple[int, int, bool]:
+        """Phrases that the real parse of a piece ends more than one from the root, its state, and whether the two met."""
+        table, other, more = self.table, root, 0
+        for c in piece:
+            to = table.item(real + c)
+            if to < 0:
+                more += real != root
+                to = table.item(root + c)
+                if to < 0:
+                    more += 1
+                    to = root
+            real = to
+            to = table.item(other + c)
+            if to < 0:
+                more -= other != root
+                to = table.item(root + c)
+                if to < 0:
+                    more -= 1
+                    to = root
+            other = to
+            if real == other:
+                return more, real, True
+        return more, real, False
+
+    def _parse(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that ended and the state at the end, of each text for each language, side by side."""
         langs, size = len(self.langs), np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-size, kind="stable")
         size = size[order]
-        flat = np.concatenate([texts[k] for k in order]) if len(texts) else np.zeros(0, np.uint16)
+        flat = np.concatenate([texts[k] for k in order]).astype(np.int32) if len(texts) else np.zeros(0, np.int32)
         start = np.cumsum(size) - size
-        root = np.tile(self.roots, (len(texts), 1))
-        state, count = root.copy(), np.zeros((len(texts), langs), np.int64)
-        table, width = self.table, self.width
-        alive, at, longest = len(texts), 0, int(size[0]) if len(texts) else 0
-        while at < longest:
-            while alive and size[alive - 1] <= at:
+        roots = self.roots.astype(np.int32)
+        state, count = np.repeat(roots[:, None], len(texts), axis=1), np.zeros((langs, len(texts)), np.int64)
+        table, alive = self.table, len(texts)
+        for at in range(int(size[0]) if len(texts) else 0):
+            while size[alive - 1] <= at:
                 alive -= 1
-            if alive < _FEW:
-                break
-            c = flat[start[:alive] + at].astype(np.int64)[:, None]
-            s, r = state[:alive], root[:alive]
-            to = table[s * width + c]
-            stop = to < 0
-            # a phrase ends before this symbol, and the next one begins with it
-            count[:alive] += stop & (s != r)
-            again = table[r * width + c]
-            to = np.where(stop, again, to)
-            lone = to < 0
-            count[:alive] += lone
-            state[:alive] = np.where(lone, r, to)
-            at += 1
-        if at < longest:
-            for k in range(alive):
-                rest = flat[start[k] + at : start[k] + size[k]].tolist()
-                for n in range(langs):
-                    s, r, extra = int(state[k, n]), int(root[k, n]), 0
-                    for c in rest:
-                        to = table.item(s * width + c)
-                        if to < 0:
-                            extra += s != r
-                            to = table.item(r * width + c)
-                            if to < 0:
-                                extra += 1
-                                to = r
-                        s = to
-                    state[k, n] = s
-                    count[k, n] += extra
-        count += state != root
-        out = np.empty_like(count)
-        out[order] = count
-        return out
+            c = flat[start[:alive] + at]
+            now = state[:, :alive]
+            to = table.take(now + c)
+            lang, text = np.nonzero(to < 0)
+            if len(lang):  # a phrase ends before this symbol, and the next one begins with it
+                root = roots[lang]
+                again = table.take(root + c[text])
+                lone = again < 0
+                count[lang, text] += (now[lang, text] != root).astype(np.int64) + lone
+                to[lang, text] = np.where(lone, root, again)
+            state[:, :alive] = to
+        counts, ends = np.empty((len(texts), langs), np.int64), np.empty((len(texts), langs), np.int64)
+        counts[order], ends[order] = count.T, state.T
+        return counts, ends
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = ["und"] * len(texts), [0.0] * len(texts)

@@ -28,6 +28,20 @@ def test_phrases_side_by_side_and_alone():
     assert parser.predict(["the cat", None, "", "123 !", "der hund"])[0] == ["x", "und", "und", "und", "y"]
 
 
+@pytest.mark.parametrize("piece", [1, 2, 5, 37])
+def test_pieces_are_stitched_exactly(monkeypatch, piece):
+    import random
+
+    monkeypatch.setattr(langid, "PIECE", piece)
+    rng = random.Random(piece)
+    letters = "abcd "
+    samples = {k: "".join(rng.choice(letters) for _ in range(80)) for k in "xyz"}
+    parser = langid.CrossParser(samples)
+    texts = ["".join(rng.choice(letters + "q") for _ in range(rng.randint(1, 200))) for _ in range(60)] + ["", "a", "q" * 30]
+    want = [[phrases(langid.symbols(t), samples[k]) for k in parser.langs] for t in texts]
+    assert parser.phrases([parser.codes(t) for t in texts]).tolist() == want
+
+
 def test_learning_edge_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     parser = langid.learn(empty)
