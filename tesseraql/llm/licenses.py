@@ -250,7 +250,9 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Licen
     lines = df.where(_anchored(F.col(text))).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "notice"))
     found = lines.where(_anchored(F.col("notice")))
     w = F.filter(F.split(F.regexp_replace(F.lower("notice"), "[^a-z0-9]+", " "), " "), lambda x: x != "")
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda n: F.concat_ws(" ", F.element_at("w", n), F.element_at("w", n + 1)))).otherwise(F.array().cast("array<string>"))
+    # zipped as wholes: an access by place inside transform would split the paragraph anew for each word
+    rest = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", F.lit(1), rest), F.slice("w", F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b))
     each = found.select("notice").distinct().withColumn("w", w).select("notice", F.array_distinct(F.concat("w", pairs)).alias("features"))
     count = len(model.classes)
     weights = F.broadcast(_rows(spark, [{"f": f, "v": v} for f, v in model.weights.items()], "f:string,v:array<double>"))
