@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 from .frames import adding, table, without
 
 #: Symbols of training text for each language, and documents asked for to get them.
-SAMPLE_SYMBOLS = 40_000
+SAMPLE_SYMBOLS = 30_000
 SAMPLE_DOCS = 150
 #: Texts with at most so many symbols in all are parsed side by side.
-SIDE_BY_SIDE = 2_000_000
+SIDE_BY_SIDE = 1_000_000
 #: Longest piece of a text that is parsed in one go.
 PIECE = 2048
 _GAPS = regex.compile(r"\P{L}+")
@@ -260,7 +260,7 @@ def identify(df: DataFrame, parser: CrossParser, text: str = "text", lang_pred:
             at = 0
             sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
             while at < len(column):  # parts of a bounded number of bytes
-                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 8_000_000, "right")))
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 3_000_000, "right")))
                 lang, sure = shared.value.predict(column.slice(at, end - at).to_pylist())
                 part = batch.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names=names)
