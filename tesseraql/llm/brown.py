@@ -1,21 +1,26 @@
 """Language-model scoring by Brown class-based bigrams.
 
 A text is lower-cased words and one end token.  Its probability is the product over tokens of
-P(class | class of the token before) * P(unit | class) * P(word | unit); before the first token
-stands an end.  A unit is a frequent word (at least one in WORD_UNITS of all tokens), or one of
-SHAPES groups of all other words by their last three bytes.  The number of units so has a fixed bound;
-counts of words, units and classes are made from every training text.
-
-Exchange clustering assigns units to classes: from the most frequent units as classes of their
-own, each round moves every unit to the class that raises the likelihood of the class bigrams
-most, with exact differences.  Spark sums the units' class profiles anew from the unit bigrams of
+P(class | class of the token before) * P(word | class); before the first token stands an end.
+Every training word has a class of its own, in two steps:
+
+Exchange clustering assigns units to classes.  A unit is a frequent word (at least one in WORD_UNITS
+of all tokens), or one of SHAPES groups of all other words by their last three bytes.  From the most
+frequent units as classes of their own, each round moves every unit to the class that raises the
+likelihood of the class bigrams most.  Spark sums the units' class profiles anew from the unit bigrams of
 the whole corpus before each round; only these sums, of fixed size, come to the driver.
 
-Within a shape group, seen words share by their counts, and the group's words seen once tell the
-share of an unseen word (Good-Turing); unseen words are one event.  So all probabilities add up to 1.
+Placement then takes every other training word out of its group and puts it into the class that raises
+that likelihood most, by exact differences with all other words left where they are.  Spark sums each
+word's neighbours by class (at most two numbers a class), so this has no bound on words.  Neighbours
+outside the frequent words count by the classes of their groups here.  Class bigrams are then
+counted anew from all training texts, by the words' own classes.
+
+Groups stand for unseen words only: one event each, with the count of the group's words seen once
+(Good-Turing).  So all probabilities add up to 1.
 
-Counts of words that are at least one in DICTIONARY of all tokens, at most DICTIONARY words, are
-broadcast; rarer words in texts are joined with the table of counts.
+Counts and classes of words that are at least one in DICTIONARY of all tokens, at most DICTIONARY words,
+are broadcast; rarer words in texts are joined with the table of words.
 
 Cases: null and empty texts are one end token; repeated rows get equal results; with no training
 texts all counts are 0 and scores stay finite; an empty table gives an empty result.
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -192,62 +198,191 @@ def exchange(of: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarra
     return of
 
 
+def _neighbours(shared):
+    """(word, shape, at, n) of words outside the units: at is the class before, the number of classes and the
+    class after, or twice that number for a word before itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, of = shared.value
+        wide = int(of.max()) + 1
+        for batch in batches:
+            parts = []
+            for _, _, names, shapes, _ in _tokens(batch.column(0)):
+                unit = units.of(names, shapes)
+                klass = of[unit]
+                # the end token is a unit, so each of these has a token after it
+                i = np.flatnonzero(unit >= len(units.words))
+                own = i[names[i] == names[i + 1]]
+                place = np.concatenate([i, i, own])
+                at = np.concatenate([np.append(of[units.end], klass[:-1])[i], wide + klass[i + 1], np.full(len(own), 2 * wide)])
+                parts.append(_entries(names[place], shapes[place], at, np.ones(len(place), np.int64), wide))
+            if parts:
+                word, shape, at, n = _entries(*map(np.concatenate, zip(*parts)), wide)
+                yield pa.RecordBatch.from_arrays([_signed(word), pa.array(shape.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(n)], names=["word", "shape", "at", "n"])
+
+    return run
+
+
+def _entries(names: np.ndarray, shapes: np.ndarray, at: np.ndarray, n: np.ndarray, wide: int) -> tuple[np.ndarray, ...]:
+    word, first, back = np.unique(names, return_index=True, return_inverse=True)
+    key, total, _ = _summed([back * (2 * wide + 1) + at], [n])
+    return word[key // (2 * wide + 1)], shapes[first][key // (2 * wide + 1)], key % (2 * wide + 1), total
+
+
+def assign(n: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The class in which each word makes the likelihood greatest, all other words left where they are.
+
+    n: class bigrams with each word in its home class; left, right: its bigrams by class of the neighbour,
+    own: with itself (a part of both).
+    """
+    b = np.arange(len(home))
+    lw, rw = left.copy(), right.copy()
+    lw[b, home] -= own
+    rw[b, home] -= own
+    gain = np.zeros(left.shape)
+    for m, mine, full, other in ((n, lw, left, right), (n.T, rw, right, left)):
+        w, j = np.nonzero(mine)
+        if not len(w):
+            continue
+        x = m[j].astype(np.float64)
+        x[np.arange(len(w)), home[w]] -= full[w, j]
+        at = np.flatnonzero(j == home[w])
+        x[at] -= other[w[at]]
+        x[at, home[w[at]]] += own[w[at]]
+        np.maximum(x, 0, out=x)
+        new = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        gain[w[new]] += np.add.reduceat(_xlogx(x + mine[w, j][:, None]) - _xlogx(x), new, axis=0)
+    x = np.tile(np.diag(n).astype(np.float64), (len(home), 1))
+    x[b, home] = np.maximum(0, x[b, home] - left[b, home] - right[b, home] + own)
+    gain += _xlogx(x + lw + rw + own[:, None]) - _xlogx(x + lw) - _xlogx(x + rw) + _xlogx(x)
+    for sums, size in ((n.sum(axis=1), right.sum(axis=1)), (n.sum(axis=0), left.sum(axis=1))):
+        x = np.tile(sums.astype(np.float64), (len(home), 1))
+        x[b, home] = np.maximum(0, x[b, home] - size)
+        gain -= _xlogx(x + size[:, None]) - _xlogx(x)
+    best = gain.argmax(axis=1)
+    return np.where(gain[b, home] >= gain[b, best] - 1e-9, home, best)
+
+
+def _placed(shared):
+    """(word, shape, n, klass) from the entries of _neighbours in the order of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, homes = shared.value
+        wide, kept = len(n), None
+        for batch in chain(batches, (None,)):
+            rows = kept
+            if batch is not None:
+                rows = [np.asarray(c) for c in batch.columns]
+                rows = rows if kept is None else [np.append(a, c) for a, c in zip(kept, rows)]
+                if not len(rows[0]):
+                    continue
+                # the last word may go on in the next batch
+                end = int(np.searchsorted(rows[0], rows[0][-1]))
+                kept, rows = [r[end:] for r in rows], [r[:end] for r in rows]
+            if rows is None or not len(rows[0]):
+                continue
+            word, first, back = np.unique(rows[0], return_index=True, return_inverse=True)
+            every = np.bincount(back * (2 * wide + 1) + rows[2], rows[3], len(word) * (2 * wide + 1)).reshape(len(word), -1)
+            left, right, own = every[:, :wide], every[:, wide : 2 * wide], every[:, -1]
+            shape = rows[1][first]
+            klass = assign(n, homes[shape], left, right, own)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(shape), pa.array(left.sum(axis=1).astype(np.int64)), pa.array(klass.astype(np.int32))], names=["word", "shape", "n", "klass"])
+
+    return run
+
+
+class Lexicon:
+    """Classes of units, and counts and classes of the words that are broadcast; units are among these."""
+
+    def __init__(self, units: Units, of: np.ndarray, words: np.ndarray, counts: np.ndarray, klass: np.ndarray):
+        self.units, self.of = units, of
+        self.words, self.counts, self.klass = _sorted(words, counts, klass)
+
+    def look(self, names: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Unit, whether the word is known here, its count, its class and that of the token before (-1: a rarer word)."""
+        unit = self.units.of(names, shapes)
+        word, back = np.unique(names, return_inverse=True)
+        at, known = _find(self.words, word)
+        count = np.where(known, self.counts[at] if len(self.counts) else 0, 0)[back]
+        klass = np.where(known, self.klass[at] if len(self.klass) else 0, -1)[back]
+        klass = np.where(unit < len(self.units.words), self.of[unit], klass)
+        return unit, known[back], count, klass, np.append(self.of[self.units.end], klass[:-1])
+
+
+def _steps(lexicon):
+    """(word, before, after, next, n): class pairs have no word; a rarer word has the classes around it, or the next word if that is rarer too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = lexicon.value
+        wide = int(lex.of.max()) + 1
+        for batch in batches:
+            pairs, rare = np.zeros(wide * wide, np.int64), []
+            for _, _, names, shapes, _ in _tokens(batch.column(0)):
+                _, _, _, klass, before = lex.look(names, shapes)
+                both = (klass >= 0) & (before >= 0)
+                pairs += np.bincount(before[both] * wide + klass[both], minlength=wide * wide)
+                i = np.flatnonzero(klass < 0)
+                rare.append((names[i], before[i], klass[i + 1], names[i + 1]))
+            at = np.flatnonzero(pairs)
+            names, before, after, following = map(np.concatenate, zip(*rare)) if rare else [np.zeros(0, np.int64)] * 4
+            small = lambda *x: pa.array(np.concatenate(x).astype(np.int32))
+            word = pa.array(np.append(np.zeros(len(at), np.int64), names.view(np.int64)), mask=np.arange(len(at) + len(names)) < len(at))
+            after_word = pa.array(np.append(np.zeros(len(at), np.int64), following.view(np.int64)), mask=np.append(np.ones(len(at), bool), after >= 0))
+            n = pa.array(np.append(pairs[at], np.ones(len(names), np.int64)))
+            yield pa.RecordBatch.from_arrays([word, small(at // wide, before), small(at % wide, after), after_word, n], names=["word", "before", "after", "next", "n"])
+
+    return run
+
+
 class ClassModel:
-    """What scoring needs, all of bounded size: logarithms to base 10 and the dictionary of counts."""
+    """What scoring needs, all of bounded size: logarithms to base 10 and the dictionary of counts and classes.
+
+    class_tokens: tokens of each class by the words' own classes.
+    """
 
-    def __init__(self, units: Units, of: np.ndarray, class_pairs: np.ndarray, unit_tokens: np.ndarray, shape_tokens: np.ndarray, shape_once: np.ndarray, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        self.units, self.of, self.total, self.distinct = units, of, total, distinct
+    def __init__(self, lexicon: Lexicon, class_pairs: np.ndarray, class_tokens: np.ndarray, unit_tokens: np.ndarray, total: int, distinct: int):
+        self.lexicon, self.units, self.of, self.words, self.total, self.distinct = lexicon, lexicon.units, lexicon.of, lexicon.words, total, distinct
         after = class_pairs.sum(axis=0)
         share = (after + 1) / (after + 1).sum()
         self.step = np.log10((class_pairs + ALPHA * share) / (class_pairs.sum(axis=1, keepdims=True) + ALPHA))
-        size = np.bincount(of, minlength=len(after))
-        tokens = np.bincount(of, unit_tokens, len(after))
-        self.emit = np.log10((unit_tokens + DELTA) / (tokens + DELTA * size)[of])
-        self.within = np.log10(shape_tokens + shape_once + 1.0)
-        self.unseen = np.log10(shape_once + 1.0)
-        self.words, self.counts = _sorted(words, counts)
+        size = np.bincount(self.of, minlength=len(after))
+        groups = len(self.units.words)
+        tokens = class_tokens + np.bincount(self.of[groups:], unit_tokens[groups:], len(after))
+        self.norm = np.log10(tokens + DELTA * size)
+        self.emit = np.log10(unit_tokens + DELTA) - self.norm[self.of]
+        # a group is one event, an unseen word: nothing is shared out within it
+        self.within = self.unseen = np.zeros(SHAPES)
 
     def local(self, names: np.ndarray, shapes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """By text: known tokens, base and score without what the rarer words add; and these words (token places)."""
-        unit = self.units.of(names, shapes)
-        klass = self.of[unit]
-        score = self.step[np.append(self.of[self.units.end], klass[:-1]), klass] + self.emit[unit]
-        word, back = np.unique(names, return_inverse=True)
-        at, known = _find(self.words, word)
-        count = np.where(known, self.counts[at] if len(self.counts) else 0, 0)
-        known, count = known[back], count[back]
-        grouped = unit >= len(self.units.words)
-        score -= np.where(grouped, self.within[shapes], 0.0)
-        score += np.where(grouped & known, np.log10(np.maximum(count, 1)), 0.0)
+        """By text: known tokens, base and score without what the rarer words add; and these words (token places), with all tokens' classes and those before."""
+        unit, known, count, klass, before = self.lexicon.look(names, shapes)
+        score = np.where((klass >= 0) & (before >= 0), self.step[before, klass], 0.0)
+        single = unit < len(self.units.words)
+        score += np.where(single, self.emit[unit], np.where(klass >= 0, np.log10(np.maximum(count, 1)) - self.norm[klass], 0.0))
         base = np.where(known, np.log10(count + 1.0), 0.0) - np.log10(self.total + self.distinct + 1.0)
-        # the end token has no row of its own among rarer words
-        rare = ~known & (names != END)
-        score = np.where((names == END) & ~known & grouped, score + self.unseen[0], score)
         per = lambda x: np.add.reduceat(x, starts)
-        return per((known & (count > 0)).astype(np.int64)), per(base), per(score), np.flatnonzero(rare)
+        return per((known & (count > 0)).astype(np.int64)), per(base), per(score), np.flatnonzero(klass < 0), klass, before
 
 
 def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[ClassModel, DataFrame]:
-    """The model of a frame with one text column, and the table (word, shape, n) of all its words."""
+    """The model of a frame with one text column, and the table (word, shape, n, klass) of all its words but the units."""
     spark = texts.sparkSession
     sc = spark.sparkContext
-    words = texts.mapInArrow(_vocabulary, "word long, shape int, n long").groupBy("word").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
-    words = stored(words, "brown-words")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    counted = texts.mapInArrow(_vocabulary, "word long, shape int, n long").groupBy("word").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
+    counted = stored(counted, "brown-words")
+    total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = int(END.view(np.int64))
     fetch = lambda df: [np.asarray(c) for c in df.toArrow().combine_chunks().columns]
-    word, count = fetch(words.where(F.col("n") * DICTIONARY >= total).select("word", "n"))
-    word = word.view(np.uint64)
-    often = (count * WORD_UNITS >= total) | (word == END)
-    units = Units(np.unique(np.append(word[often], END)))
-    of_unit, counted = _sorted(word[often], count[often])
+    often = (F.col("n") * WORD_UNITS >= total) | (F.col("word") == end)
+    unit_words, unit_counts = fetch(counted.where(often).select("word", "n"))
+    unit_words = unit_words.view(np.uint64)
+    units = Units(np.unique(np.append(unit_words, END)))
     unit_tokens = np.zeros(units.count)
-    unit_tokens[np.searchsorted(units.words, of_unit)] = counted
-    rest = words.where((F.col("n") * WORD_UNITS < total) & (F.col("word") != end))
-    shape_tokens, shape_once = np.zeros(SHAPES), np.zeros(SHAPES)
-    for r in rest.groupBy("shape").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")).collect():
-        shape_tokens[r["shape"]], shape_once[r["shape"]] = r["n"], r["once"]
-    unit_tokens[len(units.words) :] = shape_tokens
+    unit_tokens[np.searchsorted(units.words, unit_words)] = unit_counts
+    once = np.zeros(units.count)
+    for r in counted.where(~often).groupBy("shape").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")).collect():
+        unit_tokens[len(units.words) + r["shape"]], once[len(units.words) + r["shape"]] = r["n"], r["once"]
+    drop(counted)
     shared = sc.broadcast(units)
     pairs = stored(texts.mapInArrow(_bigrams(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "brown-pairs")
     order = np.argsort(-unit_tokens, kind="stable")
@@ -266,7 +401,31 @@ def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tup
     between = np.zeros((wide, wide))
     np.add.at(between.T, of, left)
     drop(pairs)
-    return ClassModel(units, of, between, unit_tokens, shape_tokens, shape_once, word, count, total, distinct), words
+    entries = texts.mapInArrow(_neighbours(sc.broadcast((units, of))), "word long, shape int, at int, n long")
+    entries = entries.repartition("word").sortWithinPartitions("word")
+    words = stored(entries.mapInArrow(_placed(sc.broadcast((between, of[len(units.words) :]))), "word long, shape int, n long, klass int"), "brown-classes")
+    word, count, klass = fetch(words.where(F.col("n") * DICTIONARY >= total).select("word", "n", "klass"))
+    unit_class = of[np.searchsorted(units.words, unit_words)]
+    lexicon = Lexicon(units, of, np.append(word.view(np.uint64), unit_words), np.append(count, unit_counts).astype(np.int64), np.append(klass, unit_class).astype(np.int64))
+    class_tokens = np.bincount(unit_class, unit_counts, wide)
+    for r in words.groupBy("klass").agg(F.sum("n").alias("n")).collect():
+        class_tokens[r["klass"]] += r["n"]
+    steps = stored(texts.mapInArrow(_steps(sc.broadcast(lexicon)), "word long, before int, after int, next long, n long"), "brown-steps")
+    rarer = words.where(F.col("n") * DICTIONARY < total).select("word", "klass")
+    first = steps.where("word is not null").join(rarer, "word")
+    second = first.where("next is not null").select("klass", F.col("next").alias("word")).join(rarer.withColumnRenamed("klass", "after"), "word")
+    class_pairs = np.zeros((wide, wide))
+    for df in (
+        steps.where("word is null").select("before", "after", "n"),
+        first.where("before >= 0").select("before", F.col("klass").alias("after"), "n"),
+        first.where("after >= 0").select(F.col("klass").alias("before"), "after", "n"),
+        second.select(F.col("klass").alias("before"), "after", F.lit(1).alias("n")),
+    ):
+        a, b, n = fetch(df.groupBy("before", "after").agg(F.sum("n").alias("n")))
+        np.add.at(class_pairs, (a, b), n)
+    drop(steps)
+    unit_tokens[len(units.words) :] = once[len(units.words) :]
+    return ClassModel(lexicon, class_pairs, class_tokens, unit_tokens, total, distinct), words
 
 
 _ROW = "doc_id long, held_out boolean, salt long, rows long, n_tokens long, n_known long, base double, score double"
@@ -277,7 +436,7 @@ def _local(model):
         m = model.value
         for batch in batches:
             for row, end, names, shapes, starts in _tokens(batch.column(3)):
-                known, base, score, _ = m.local(names, shapes, starts)
+                known, base, score, *_ = m.local(names, shapes, starts)
                 size = np.diff(np.append(starts, len(names)))
                 keys = [batch.column(k).slice(row, end - row) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(np.ones(end - row, np.int64)), pa.array(size), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "salt", "rows", "n_tokens", "n_known", "base", "score"])
@@ -285,22 +444,31 @@ def _local(model):
     return run
 
 
+_RARE = ["doc_id", "held_out", "salt", "word", "shape", "before", "after", "next", "next_shape", "times"]
+
+
 def _rare(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             for row, end, names, shapes, starts in _tokens(batch.column(3)):
-                at = m.local(names, shapes, starts)[3]
+                at, klass, before = m.local(names, shapes, starts)[3:]
                 if not len(at):
                     continue
                 doc = np.searchsorted(starts, at, "right") - 1
-                order = np.lexsort((names[at], doc))
-                at, doc = at[order], doc[order]
-                new = np.flatnonzero(np.append(True, (names[at][1:] != names[at][:-1]) | (doc[1:] != doc[:-1])))
+                right = klass[at + 1]
+                following = np.where(right < 0, names[at + 1], np.uint64(0))
+                facts = (names[at], before[at], right, following, doc)
+                order = np.lexsort(facts)
+                at, doc, right = at[order], doc[order], right[order]
+                new = np.flatnonzero(np.append(True, np.any([f[order][1:] != f[order][:-1] for f in facts], axis=0)))
                 times = np.diff(np.append(new, len(at)))
                 take = pa.array(doc[new] + row)
+                at, right = at[new], right[new]
                 keys = [batch.column(k).take(take) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*keys, _signed(names[at[new]]), pa.array(shapes[at[new]].astype(np.int32)), pa.array(times)], names=["doc_id", "held_out", "salt", "word", "shape", "times"])
+                small = lambda x: pa.array(x.astype(np.int32))
+                following = pa.array(names[at + 1].view(np.int64), mask=right >= 0)
+                yield pa.RecordBatch.from_arrays([*keys, _signed(names[at]), small(shapes[at]), small(before[at]), small(right), following, small(shapes[at + 1]), pa.array(times)], names=_RARE)
 
     return run
 
@@ -313,12 +481,22 @@ def score(df: DataFrame, model: ClassModel, words: DataFrame, doc_id: str = "doc
     shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.xxhash64(text).alias("salt"), F.col(text).alias("text"))
     local = rows.mapInArrow(_local(shared), _ROW)
-    rare = rows.mapInArrow(_rare(shared), "doc_id long, held_out boolean, salt long, word long, shape int, times long")
-    counted = rare.join(words.where(F.col("n") * DICTIONARY < model.total).select("word", "n"), "word", "left")
-    unseen = F.element_at(F.from_json(F.lit(json.dumps(model.unseen.tolist())), "array<double>"), F.col("shape") + 1)
+    rare = rows.mapInArrow(_rare(shared), "doc_id long, held_out boolean, salt long, word long, shape int, before int, after int, next long, next_shape int, times long")
+    listed = lambda x: F.from_json(F.lit(json.dumps(x.reshape(-1).tolist())), "array<double>")
+    groups = len(model.units.words)
+    wide, step, norm = len(model.step), listed(model.step), listed(model.norm)
+    unseen, of = listed(model.emit[groups:]), F.from_json(F.lit(json.dumps(model.of[groups:].tolist())), "array<int>")
+    stepped = lambda a, b: F.element_at(step, F.col(a) * wide + F.col(b) + 1)
+    rarer = words.where(F.col("n") * DICTIONARY < model.total)
+    counted = rare.join(rarer.select("word", "n", "klass"), "word", "left").withColumn("klass", F.coalesce("klass", F.element_at(of, F.col("shape") + 1)))
+    # rows without a rarer word next are spread over the join by a number of their own
+    counted = counted.withColumn("key", F.coalesce("next", F.xxhash64("doc_id", "salt", "word", "before", "after")))
+    counted = counted.join(rarer.select(F.col("word").alias("key"), F.col("klass").alias("next_class")), "key", "left").withColumn("next_class", F.coalesce("next_class", F.element_at(of, F.col("next_shape") + 1)))
     n = F.coalesce("n", F.lit(0))
-    zero = F.lit(0).cast("long")
-    added = counted.select("doc_id", "held_out", "salt", zero.alias("rows"), zero.alias("n_tokens"), F.when(n > 0, F.col("times")).otherwise(0).cast("long").alias("n_known"), (F.col("times") * F.log10(n + 1.0)).alias("base"), (F.col("times") * F.when(n > 0, F.log10(n.cast("double"))).otherwise(unseen)).alias("score"))
+    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+    emit = F.when(n > 0, F.log10(n.cast("double")) - F.element_at(norm, F.col("klass") + 1)).otherwise(F.element_at(unseen, F.col("shape") + 1))
+    around = F.when(F.col("before") >= 0, stepped("before", "klass")).otherwise(none) + F.when(F.col("after") >= 0, stepped("klass", "after")).otherwise(stepped("klass", "next_class"))
+    added = counted.select("doc_id", "held_out", "salt", zero.alias("rows"), zero.alias("n_tokens"), F.when(n > 0, F.col("times")).otherwise(0).cast("long").alias("n_known"), (F.col("times") * F.log10(n + 1.0)).alias("base"), (F.col("times") * (emit + around)).alias("score"))
     sums = local.union(added).groupBy("doc_id", "held_out", "salt").agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "score")))
     each = sums.select("doc_id", "held_out", (F.col("n_tokens") / F.col("rows")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("copy"))
     return each.drop("copy").withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

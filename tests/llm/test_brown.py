@@ -139,3 +139,62 @@ def test_exchange_raises_the_likelihood():
         of = brown.exchange(of, left, right, np.diag(big).copy(), classes)
         values.append(value(of))
     assert values[-1] >= values[0] and values[-1] >= value(truth) - 1e-6
+
+
+def test_every_training_word_is_placed_by_its_own_neighbours(spark, monkeypatch):
+    """Words with one ending get apart when their neighbours differ; scores are those of the classes, however words are looked up."""
+    monkeypatch.setattr(brown, "WORD_UNITS", 16)
+    texts = [f"the {w}king {v}" for w in ("bla", "cla") for v in ("ran", "sat") for _ in range(30)] + [f"{v} {w}king the" for w in ("dra", "fra") for v in ("ran", "sat") for _ in range(30)]
+    texts += [t for v in ("ran", "sat") for t in (f"the big {v}", f"{v} old the") for _ in range(100)]
+    texts += ["the blaking draking claking the", "unseenking claking blaking ran", None]
+    df = frame(spark, texts)
+    for words_broadcast in (1 << 21, 16):
+        monkeypatch.setattr(brown, "DICTIONARY", words_broadcast)
+        model, table = brown.train(df.select("text"), classes=5, rounds=3)
+        klass = {r.word: r.klass for r in table.collect()}
+        count = Counter(w for t in texts for w in tokens(t))
+        number = lambda w: int(next(iter_names(w.decode())).view(np.int64))
+        unit = {w: w is None or is_unit(model, w.decode()) for w in count}
+        assert not unit[b"blaking"] and len(klass) == sum(not u for u in unit.values())
+        of = {w: int(model.of[model.units.end if w is None else model.units.of(np.array([next(iter_names(w.decode()))]), np.array([0]))[0]]) if unit[w] else klass[number(w)] for w in count}
+        assert of[b"blaking"] == of[b"claking"] != of[b"draking"] == of[b"fraking"]
+        pairs, held = np.zeros((5, 5)), np.zeros(5)
+        for t in texts:
+            run = [of[w] for w in tokens(t)]
+            np.add.at(pairs, ([of[None], *run[:-1]], run), 1)
+            np.add.at(held, run, 1)
+        once = np.zeros(brown.SHAPES)
+        for w, n in count.items():
+            if n == 1 and not unit[w]:
+                once[shape_of(w.decode())] += 1
+        groups = model.of[len(model.units.words) :]
+        norm = held + np.bincount(groups, once, 5) + brown.DELTA * np.bincount(model.of, minlength=5)
+        share = (pairs.sum(0) + 1) / (pairs.sum(0) + 1).sum()
+        step = (pairs + brown.ALPHA * share) / (pairs.sum(1, keepdims=True) + brown.ALPHA)
+        for r in brown.score(frame(spark, [*texts, "the newking ran oldking otherking"]), model, table).collect():
+            want, last = 0.0, of[None]
+            for w in tokens([*texts, "the newking ran oldking otherking"][r.doc_id]):
+                s = None if w in of else shape_of(w.decode())
+                c = of[w] if s is None else int(groups[s])
+                n = once[s] + brown.DELTA if s is not None else count[w] + (brown.DELTA if unit[w] else 0)
+                want, last = want + math.log10(step[last, c] * n / norm[c]), c
+            assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
+def test_assign_takes_the_class_of_the_greatest_likelihood():
+    rng = np.random.default_rng(3)
+    words, classes = 14, 4
+    big = rng.poisson(0.8, (words, words)).astype(float)
+    of = rng.integers(0, classes, words)
+
+    def value(of):
+        n = np.zeros((classes, classes))
+        np.add.at(n, (np.repeat(of, words), np.tile(of, words)), big.reshape(-1))
+        x = lambda m: (m * np.log(np.maximum(m, 1))).sum()
+        return n, x(n) - x(n.sum(0)) - x(n.sum(1))
+
+    left, right = (np.array([np.bincount(of, m[w], classes) for w in range(words)]) for m in (big.T, big))
+    got = brown.assign(value(of)[0], of, left, right, np.diag(big).copy())
+    for w in range(words):
+        tries = [value(np.where(np.arange(words) == w, c, of))[1] for c in range(classes)]
+        assert math.isclose(tries[got[w]], max(tries), rel_tol=1e-9)
