@@ -199,34 +199,36 @@ def exchange(of: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarra
 
 
 def _neighbours(shared):
-    """(word, shape, at, n) of words outside the units: at is the class before, the number of classes and the
-    class after, or twice that number for a word before itself."""
+    """(word, around, n) of words outside the units; around holds the word's shape, the class before, the class
+    after and whether the word stands before itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, of = shared.value
         wide = int(of.max()) + 1
         for batch in batches:
-            parts = []
-            for _, _, names, shapes, _ in _tokens(batch.column(0)):
+            parts, size = [], 0
+            for _, end, names, shapes, _ in _tokens(batch.column(0)):
                 unit = units.of(names, shapes)
                 klass = of[unit]
                 # the end token is a unit, so each of these has a token after it
                 i = np.flatnonzero(unit >= len(units.words))
-                own = i[names[i] == names[i + 1]]
-                place = np.concatenate([i, i, own])
-                at = np.concatenate([np.append(of[units.end], klass[:-1])[i], wide + klass[i + 1], np.full(len(own), 2 * wide)])
-                parts.append(_entries(names[place], shapes[place], at, np.ones(len(place), np.int64), wide))
-            if parts:
-                word, shape, at, n = _entries(*map(np.concatenate, zip(*parts)), wide)
-                yield pa.RecordBatch.from_arrays([_signed(word), pa.array(shape.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(n)], names=["word", "shape", "at", "n"])
+                before = np.append(of[units.end], klass[:-1])[i]
+                around = ((shapes[i] * wide + before) * wide + klass[i + 1]) * 2 + (names[i] == names[i + 1])
+                parts.append(_entries(names[i], around, np.ones(len(i), np.int64), wide))
+                size += len(parts[-1][0])
+                if size > 400_000 or end == len(batch):
+                    word, around, n = _entries(*map(np.concatenate, zip(*parts)), wide)
+                    parts, size = [], 0
+                    yield pa.RecordBatch.from_arrays([_signed(word), pa.array(around), pa.array(n)], names=["word", "around", "n"])
 
     return run
 
 
-def _entries(names: np.ndarray, shapes: np.ndarray, at: np.ndarray, n: np.ndarray, wide: int) -> tuple[np.ndarray, ...]:
-    word, first, back = np.unique(names, return_index=True, return_inverse=True)
-    key, total, _ = _summed([back * (2 * wide + 1) + at], [n])
-    return word[key // (2 * wide + 1)], shapes[first][key // (2 * wide + 1)], key % (2 * wide + 1), total
+def _entries(names: np.ndarray, around: np.ndarray, n: np.ndarray, wide: int) -> tuple[np.ndarray, ...]:
+    word, back = np.unique(names, return_inverse=True)
+    kinds = SHAPES * wide * wide * 2
+    key, total, _ = _summed([back * kinds + around], [n])
+    return word[key // kinds], key % kinds, total
 
 
 def assign(n: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -264,7 +266,7 @@ def assign(n: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray,
 
 
 def _placed(shared):
-    """(word, shape, n, klass) from the entries of _neighbours in the order of their words."""
+    """(word, shape, n, klass) from the rows of _neighbours in the order of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, homes = shared.value
@@ -282,11 +284,13 @@ def _placed(shared):
             if rows is None or not len(rows[0]):
                 continue
             word, first, back = np.unique(rows[0], return_index=True, return_inverse=True)
-            every = np.bincount(back * (2 * wide + 1) + rows[2], rows[3], len(word) * (2 * wide + 1)).reshape(len(word), -1)
-            left, right, own = every[:, :wide], every[:, wide : 2 * wide], every[:, -1]
-            shape = rows[1][first]
+            around, times = rows[1], rows[2].astype(np.float64)
+            profile = lambda x: np.bincount(back * wide + x, times, len(word) * wide).reshape(-1, wide)
+            left, right = profile(around // (2 * wide) % wide), profile(around // 2 % wide)
+            own = np.bincount(back, times * (around % 2), len(word))
+            shape = around[first] // (2 * wide * wide)
             klass = assign(n, homes[shape], left, right, own)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(shape), pa.array(left.sum(axis=1).astype(np.int64)), pa.array(klass.astype(np.int32))], names=["word", "shape", "n", "klass"])
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(shape.astype(np.int32)), pa.array(left.sum(axis=1).astype(np.int64)), pa.array(klass.astype(np.int32))], names=["word", "shape", "n", "klass"])
 
     return run
 
@@ -401,7 +405,7 @@ def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tup
     between = np.zeros((wide, wide))
     np.add.at(between.T, of, left)
     drop(pairs)
-    entries = texts.mapInArrow(_neighbours(sc.broadcast((units, of))), "word long, shape int, at int, n long")
+    entries = texts.mapInArrow(_neighbours(sc.broadcast((units, of))), "word long, around long, n long")
     entries = entries.repartition("word").sortWithinPartitions("word")
     words = stored(entries.mapInArrow(_placed(sc.broadcast((between, of[len(units.words) :]))), "word long, shape int, n long, klass int"), "brown-classes")
     word, count, klass = fetch(words.where(F.col("n") * DICTIONARY >= total).select("word", "n", "klass"))
@@ -415,14 +419,13 @@ def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tup
     first = steps.where("word is not null").join(rarer, "word")
     second = first.where("next is not null").select("klass", F.col("next").alias("word")).join(rarer.withColumnRenamed("klass", "after"), "word")
     class_pairs = np.zeros((wide, wide))
-    for df in (
-        steps.where("word is null").select("before", "after", "n"),
-        first.where("before >= 0").select("before", F.col("klass").alias("after"), "n"),
-        first.where("after >= 0").select(F.col("klass").alias("before"), "after", "n"),
-        second.select(F.col("klass").alias("before"), "after", F.lit(1).alias("n")),
-    ):
-        a, b, n = fetch(df.groupBy("before", "after").agg(F.sum("n").alias("n")))
-        np.add.at(class_pairs, (a, b), n)
+    a, b, n = fetch(steps.where("word is null").groupBy("before", "after").agg(F.sum("n")))
+    np.add.at(class_pairs, (a, b), n)
+    a, c, b, n = fetch(first.groupBy("before", "klass", "after").agg(F.count("*")))
+    np.add.at(class_pairs, (a[a >= 0], c[a >= 0]), n[a >= 0])
+    np.add.at(class_pairs, (c[b >= 0], b[b >= 0]), n[b >= 0])
+    a, b, n = fetch(second.groupBy("klass", "after").agg(F.count("*")))
+    np.add.at(class_pairs, (a, b), n)
     drop(steps)
     unit_tokens[len(units.words) :] = once[len(units.words) :]
     return ClassModel(lexicon, class_pairs, class_tokens, unit_tokens, total, distinct), words
