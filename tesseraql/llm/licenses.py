@@ -7,7 +7,9 @@ temperature and the probability below which a notice is ``unknown`` are calibrat
 that the fit has not seen and on notices of families it does not know.  A family is confirmed only
 if the paragraph holds enough of the word pairs of one of its notices; else it is ``unknown``.
 
-Only paragraphs with one of ANCHORS can be notices.  Equal paragraphs are classified once and the
+A paragraph can be a notice if it holds one of ANCHORS, or enough of the word pairs of any notice to confirm
+its family.  Before pairs are counted a pattern sorts out texts that cannot: of each notice it names so many
+pairs that a text without them has too few left (_reachable).  Equal paragraphs are classified once and the
 result joined back, so common notices cost little.  The main path is DataFrame functions only;
 weights are a small fixed table.
 
@@ -121,7 +123,7 @@ STRANGERS = (
 _BEFORE = ("", "Notice: ", "Copyright (c) 2021 the contributors. ", "For reuse please note. ", "Footer of the page. ")
 _AFTER = ("", " See the file for details.", " Please keep this line.", " Questions go to the editors.", " Last updated in May.")
 
-#: A notice holds one of these, whatever its case.
+#: A paragraph with one of these, whatever its case, is judged even if it is like no notice below.
 ANCHORS = ("licens", "licenc", "copyright", "public domain", "permission is hereby", "free software", "redistribution and use", "rights reserved", "no part of this publication")
 #: Share of a notice's word pairs that confirms its family.
 CONFIRMED = 0.6
@@ -221,7 +223,7 @@ def similarity(text: str, family: str) -> float:
 
 def classify(text: str, model: LicenceModel) -> tuple[str, float, float, bool] | None:
     """(family or ``unknown``, probability, similarity, confirmed) of one paragraph, or None: the same in plain Python."""
-    if not any(a in text.lower() for a in ANCHORS):
+    if not any(a in text.lower() for a in ANCHORS) and max(similarity(text, f) for f in NOTICES) < CONFIRMED:
         return None
     p = model.probabilities(text)
     best = int(p.argmax())
@@ -240,6 +242,18 @@ def _anchored(text: Column) -> Column:
     return hit
 
 
+def required(notice: str) -> list[str]:
+    """Pairs of a notice such that any text without them, and without ANCHORS, holds less than CONFIRMED of its pairs."""
+    pairs = sorted({f for f in features(notice) if " " in f}, key=lambda f: (not any(a in f for a in ANCHORS), -len(f), f))
+    least = next(k for k in range(len(pairs) + 1) if k / len(pairs) >= CONFIRMED)
+    return [f for f in pairs[: len(pairs) - least + 1] if not any(a in f for a in ANCHORS)]
+
+
+def _reachable(text: Column) -> Column:
+    pairs = sorted({f for ns in NOTICES.values() for n in ns for f in required(n)})
+    return _anchored(text) | F.lower(text).rlike("|".join(f.replace(" ", "[^a-z0-9]+") for f in pairs))
+
+
 def _rows(spark: SparkSession, values: list, kind: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(values)), f"array<struct<{kind}>>")))
 
@@ -247,8 +261,8 @@ def _rows(spark: SparkSession, values: list, kind: str) -> DataFrame:
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: LicenceModel | None = None) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, confirmed, notice): a row for each licence notice."""
     model, spark = model or trained(), df.sparkSession
-    lines = df.where(_anchored(F.col(text))).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "notice"))
-    found = lines.where(_anchored(F.col("notice")))
+    lines = df.where(_reachable(F.col(text))).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "notice"))
+    found = lines.where(_reachable(F.col("notice")))
     w = F.filter(F.split(F.regexp_replace(F.lower("notice"), "[^a-z0-9]+", " "), " "), lambda x: x != "")
     # zipped as wholes: an access by place inside transform would split the paragraph anew for each word
     rest = F.greatest(F.size("w") - 1, F.lit(0))
@@ -266,6 +280,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Licen
     family = F.element_at(F.array(*map(F.lit, model.classes)), F.col("best"))
     likes = F.array(*(F.struct(F.lit(fam).alias("fam"), (F.size(F.array_intersect("features", F.array(*map(F.lit, p)))) / F.lit(len(p))).alias("like")) for fam, _, p in notices))
     scored = scored.withColumn("family", family).where("family <> 'other'")
+    scored = scored.where(_anchored(F.col("notice")) | F.exists(likes, lambda x: x["like"] >= CONFIRMED))
     like = F.array_max(F.transform(F.filter(likes, lambda x: x["fam"] == F.col("family")), lambda x: x["like"]))
     judged = scored.withColumn("similarity", like).withColumn("confirmed", (F.col("probability") >= model.threshold) & (F.col("similarity") >= CONFIRMED))
     named = judged.select("notice", F.when(F.col("confirmed"), F.col("family")).otherwise("unknown").alias("family"), "probability", "similarity", "confirmed")

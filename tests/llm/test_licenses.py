@@ -34,3 +34,17 @@ def test_held_out_variations():
     right = sum((L.classify(v, model) or ("",))[0] == f for v, f in cases)
     wrong = sum((L.classify(v, model) or ("unknown",))[0] not in (f, "unknown") for v, f in cases)
     assert right / len(cases) > 0.85 and wrong / len(cases) < 0.05
+
+
+def test_notices_without_an_anchor(spark):
+    model = L.trained()
+    texts = ["Released under the AGPL.", "Distributed under the LGPL.", "Released under the GPL v2 or later.", "word\nreleased  UNDER the agpl\nmore", "They were released under the bridge."]
+    got = sorted((r.doc_id, r.paragraph, r.family, r.confirmed) for r in L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=model).collect())
+    assert [(i, p) for i, p, _, _ in got] == [(0, 0), (1, 0), (2, 0), (3, 1)]
+    assert got == [(i, p, *(L.classify(texts[i].split("\n")[p], model)[k] for k in (0, 3))) for i, p, _, _ in got]
+    assert [f for _, _, f, _ in got] == ["agpl", "lgpl", "gpl", "agpl"]
+    # a text without the pairs that the prefilter asks for cannot be confirmed
+    for n in (n for ns in L.NOTICES.values() for n in ns):
+        pairs = {f for f in L.features(n) if " " in f}
+        free = [f for f in pairs if f not in L.required(n) and not any(a in f for a in L.ANCHORS)]
+        assert len(free) / len(pairs) < L.CONFIRMED
