@@ -1,6 +1,10 @@
 """Licence scans: a trained classifier of paragraphs.
 
-Features are words and word pairs of a paragraph (a line of the text), each counted once.  A
+Paragraphs are lines of the text, and blocks of lines between blank lines, joined by spaces, for notices
+that are wrapped.  A block gives a row, with the number of its first line, if its family is confirmed and
+none of its lines alone confirms that family; its lines then give no ``unknown`` rows.
+
+Features are words and word pairs of a paragraph, each counted once.  A
 softmax regression with sparse weights, fitted on the driver from the notices below and fixed
 variations of them, gives each paragraph a family or ``other`` (it is no licence notice).  Its
 temperature and the probability below which a notice is ``unknown`` are calibrated on variations
@@ -125,6 +129,8 @@ _AFTER = ("", " See the file for details.", " Please keep this line.", " Questio
 
 #: A paragraph with one of these, whatever its case, is judged even if it is like no notice below.
 ANCHORS = ("licens", "licenc", "copyright", "public domain", "permission is hereby", "free software", "redistribution and use", "rights reserved", "no part of this publication")
+#: Stands for a blank line; in texts it is a space.
+MARK, BLANK = "\x01", "^[ \\t\\r\\f]*$"
 #: Share of a notice's word pairs that confirms its family.
 CONFIRMED = 0.6
 
@@ -261,8 +267,16 @@ def _rows(spark: SparkSession, values: list, kind: str) -> DataFrame:
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: LicenceModel | None = None) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, confirmed, notice): a row for each licence notice."""
     model, spark = model or trained(), df.sparkSession
-    lines = df.where(_reachable(F.col(text))).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "notice"))
-    found = lines.where(_reachable(F.col("notice")))
+    # a blank line becomes a mark and its number, so that blocks keep their places
+    lines = F.transform(F.split(F.regexp_replace(text, MARK, " "), "\n"), lambda x, k: F.when(x.rlike(BLANK), F.concat(F.lit(MARK), k.cast("string"))).otherwise(x))
+    pieces = df.where(_reachable(F.col(text))).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.concat(F.lit("-1\n"), F.array_join(lines, "\n")), MARK)).alias("k", "piece"))
+    blocks = pieces.select("doc_id", (F.substring_index("piece", "\n", 1).cast("int") + 1).alias("start"), F.regexp_replace("piece", "^-?[0-9]+\n?|\n$", "").alias("block"))
+    blocks = blocks.where(_reachable(F.col("block")))
+    parts = blocks.select("block").distinct()
+    whole = F.array(F.struct(F.lit(-1).alias("at"), F.regexp_replace(F.trim("block"), "\\s*\n\\s*", " ").alias("notice")))
+    single = F.transform(F.split("block", "\n"), lambda x, k: F.struct(k.cast("int").alias("at"), x.alias("notice")))
+    both = F.when(F.col("block").contains("\n"), F.concat(whole, single)).otherwise(single)
+    found = parts.select("block", F.inline(both)).where(_reachable(F.col("notice")))
     w = F.filter(F.split(F.regexp_replace(F.lower("notice"), "[^a-z0-9]+", " "), " "), lambda x: x != "")
     # zipped as wholes: an access by place inside transform would split the paragraph anew for each word
     rest = F.greatest(F.size("w") - 1, F.lit(0))
@@ -284,7 +298,30 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Licen
     like = F.array_max(F.transform(F.filter(likes, lambda x: x["fam"] == F.col("family")), lambda x: x["like"]))
     judged = scored.withColumn("similarity", like).withColumn("confirmed", (F.col("probability") >= model.threshold) & (F.col("similarity") >= CONFIRMED))
     named = judged.select("notice", F.when(F.col("confirmed"), F.col("family")).otherwise("unknown").alias("family"), "probability", "similarity", "confirmed")
-    return found.join(named, "notice").select("doc_id", "paragraph", "family", "probability", "similarity", "confirmed", "notice")
+    fields = ("at", "family", "probability", "similarity", "confirmed", "notice")
+    rows = found.join(named, "notice").groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("rows"))
+    rows = rows.withColumn("whole", F.filter("rows", lambda x: (x["at"] < 0) & x["confirmed"]))
+    alone = F.filter("rows", lambda x: (x["at"] >= 0) & x["confirmed"])
+    known = F.transform(alone, lambda x: x["family"])
+    new = F.exists("whole", lambda x: ~F.array_contains(known, x["family"]))
+    rows = rows.select("block", F.when(new, F.concat("whole", alone)).otherwise(F.filter("rows", lambda x: x["at"] >= 0)).alias("rows"))
+    out = blocks.join(rows, "block").select("doc_id", "start", F.inline("rows"))
+    return out.select("doc_id", (F.col("start") + F.greatest("at", F.lit(0))).alias("paragraph"), *fields[1:])
+
+
+def classify_text(text: str | None, model: LicenceModel) -> list[tuple]:
+    """(paragraph, family, probability, similarity, confirmed, notice) of scan() for one text in plain Python."""
+    out, lines = [], (text or "").split("\n")
+    edges = [-1, *(k for k, line in enumerate(lines) if re.fullmatch(BLANK[1:-1], line)), len(lines)]
+    for a, b in zip(edges, edges[1:]):
+        block = lines[a + 1 : b]
+        rows = [(k, *c, line) for k, line in enumerate(block, a + 1) if (c := classify(line, model))]
+        joined = re.sub("\\s*\n\\s*", " ", "\n".join(block).strip(" "))
+        c = classify(joined, model) if len(block) > 1 else None
+        if c and c[3] and not any(r[4] and r[1] == c[0] for r in rows):
+            rows = [(a + 1, *c, joined), *(r for r in rows if r[4])]
+        out += rows
+    return out
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

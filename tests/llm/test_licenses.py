@@ -48,3 +48,19 @@ def test_notices_without_an_anchor(spark):
         pairs = {f for f in L.features(n) if " " in f}
         free = [f for f in pairs if f not in L.required(n) and not any(a in f for a in L.ANCHORS)]
         assert len(free) / len(pairs) < L.CONFIRMED
+
+
+def test_wrapped_notices(spark):
+    model = L.trained()
+    gpl = "# This program is free software: you can redistribute it and or modify\n# it under the terms of the GNU General Public License as published\n# by the Free Software Foundation."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining\r\na copy of this software and associated documentation files, to deal\r\nin the Software without restriction."
+    texts = [gpl, f"some prose\n\n\n{gpl}\n \t\ncode here\n\n{mit}\n", f"{mit}\nReleased under the MIT License.", "\n\nReleased under the\nAGPL.", "a\nb\n\nlicense\n", None, "", "\x01" + gpl, "\n"]
+    rows = list(enumerate(texts)) + [(0, gpl), (None, gpl)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: str((r[0], r[1], r[2], r[4]))
+    got = sorted(((r.doc_id, r.paragraph, r.family, round(r.probability, 9), r.confirmed, round(r.similarity, 9)) for r in L.scan(df).collect()), key=key)
+    want = sorted(((i, p, f, round(q, 9), sure, round(like, 9)) for i, t in rows for p, f, q, like, sure, _ in L.classify_text(t, model)), key=key)
+    assert got == want
+    sure = sorted((i, p, f) for i, p, f, _, c, _ in got if c and i is not None)
+    assert sure == [(0, 0, "gpl"), (0, 0, "gpl"), (1, 3, "gpl"), (1, 9, "mit"), (2, 3, "mit"), (3, 2, "agpl"), (7, 0, "gpl")]
+    assert not any(f == "unknown" for i, _, f, _, _, _ in got if i in (0, 1))
