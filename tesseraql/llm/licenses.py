@@ -250,14 +250,17 @@ def _anchored(text: Column) -> Column:
 
 def required(notice: str) -> list[str]:
     """Pairs of a notice such that any text without them, and without ANCHORS, holds less than CONFIRMED of its pairs."""
-    pairs = sorted({f for f in features(notice) if " " in f}, key=lambda f: (not any(a in f for a in ANCHORS), -len(f), f))
+    common = lambda f: sum(f in features(n) for ns in NOTICES.values() for n in ns)
+    pairs = sorted({f for f in features(notice) if " " in f}, key=lambda f: (not any(a in f for a in ANCHORS), common(f), -len(f), f))
     least = next(k for k in range(len(pairs) + 1) if k / len(pairs) >= CONFIRMED)
     return [f for f in pairs[: len(pairs) - least + 1] if not any(a in f for a in ANCHORS)]
 
 
 def _reachable(text: Column) -> Column:
     pairs = sorted({f for ns in NOTICES.values() for n in ns for f in required(n)})
-    return _anchored(text) | F.lower(text).rlike("|".join(f.replace(" ", "[^a-z0-9]+") for f in pairs))
+    # tried at starts of words only, and by their first letters
+    heads = ("".join((c, "(?:", "|".join(f[1:].replace(" ", "[^a-z0-9]+") for f in pairs if f[0] == c), ")")) for c in sorted({f[0] for f in pairs}))
+    return _anchored(text) | F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(heads)})")
 
 
 def _rows(spark: SparkSession, values: list, kind: str) -> DataFrame:
