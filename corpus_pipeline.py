@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from tesseraql.llm import bpe, decontaminate, langid, simhash, substrings
 from tesseraql.llm.frames import table
-from tesseraql.llm.scratch import stored
+from tesseraql.llm.scratch import drop, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (no text or no letter) go."""
+    """Documents in which no language can be told (no text or no letter) go; those without a label get the one found."""
     parser = langid.learn(docs.where(langid.remainder("doc_id", 3) != 1))
-    return langid.identify(docs, parser, lang_pred="__lang", score="__score").where("__lang <> 'und'").select(*docs.columns)
+    told = langid.identify(docs, parser, lang_pred="__lang", score="__score").where("__lang <> 'und'")
+    return told.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    key = F.xxhash64("doc_id", "text")
+    key = F.concat_ws(":", F.xxhash64("doc_id", "text").cast("string"), F.xxhash64("text", "doc_id").cast("string"))
     found = decontaminate.contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return docs.withColumn("__key", key).join(found.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
 
@@ -64,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
