@@ -7,6 +7,9 @@ token is stored: among the vocabulary entries that end there (an automaton with
 yields them), the one compatible with the last token of the prefix before it.  Following the
 stored tokens back from the end gives the ids.  No merge loop runs over the word.
 
+A worker remembers the ids of at most MEMO short words (those met lately) and, in a table of
+PAIRS places that each hold the pair met last, which pairs are compatible: some 20 MB in all.
+
 Cases: null text is encoded as an empty text; an empty text has no ids and decodes to ''.
 Repeated rows give repeated results; an empty table gives an empty one; an input column with
 the name of a result column is replaced.
@@ -16,7 +19,9 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -26,14 +31,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .frames import adding, table, without
+from .frames import adding, table, tidied, without
 from .tokens import plain
 
-#: Texts remembered by a worker before it starts anew.
-MEMO = 400_000
-#: Longest text that is remembered.
-KEPT = 64
+#: Words that a worker remembers, and the longest of them.
+MEMO, KEPT = 1 << 17, 32
+#: Places for pairs of tokens, a power of two.
+PAIRS = 1 << 19
+_SPREAD = 0x9E3779B1
 _END = ""
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_OTHER = re.compile("[^\0-\u024f]")
+
+
+def _below(kind: str) -> str:
+    """The characters up to U+024F of a class, for a class of re."""
+    return re.escape("".join(c for c in map(chr, range(0x250)) if regex.match(kind, c)))
+
+
+#: _PATTERN for such characters; its first three kinds begin with other characters, so their order is free.
+_LATIN = re.compile(f"[{_below(r'\p{L}')}]+|[{_below(r'\p{N}')}]|'(?:[stmd]|re|ve|ll)|[^{_below(r'\s')}{_below(r'\p{L}')}{_below(r'\p{N}')}]+")
+
+
+class _Memo:
+    """The ids of words met lately: when half of MEMO words are new, those not met since the last time go."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def keep(self, word: str, ids: tuple[int, ...]) -> Callable:
+        if len(self.new) >= MEMO // 2:
+            self.old, self.new = self.new, {}
+        self.new[word] = ids
+        return self.new.get
 
 
 class PrefixBPE:
@@ -63,19 +94,20 @@ class PrefixBPE:
             self.rank.setdefault((left, right), k)
         self._auto = ahocorasick.Automaton()
         self._own: dict[int, bool] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits = array("Q", b"\xff" * 8 * PAIRS)  # what compatible() said last at each place: (left << 32 | right) << 1 | answer
         for text, i in vocab.items():
+            if not self.own(i):  # it never stands in an encoding
+                continue
             key = text[: -len(suffix)] + _END if text.endswith(suffix) else text
             self._auto.add_word(key, (i, len(key)))
         self._auto.make_automaton()
         from_bytes = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = [b for b in range(256) if b not in from_bytes]
         self._char = {**{b: chr(b) for b in from_bytes}, **{b: chr(256 + n) for n, b in enumerate(spare)}}
-        self._latin = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         pattern = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self._plain_rules = pattern == [self._latin.pattern] and [x["type"] for x in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
-        self._words: dict[str, tuple[int, ...]] = {}
-        self._texts: dict[bytes, tuple[int, ...]] = {}
+        #: Whether the tokenizer has the rules that _LATIN stands for.
+        self.plain_rules = pattern == [_PATTERN] and [x["type"] for x in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+        self._latin_memo, self._memo = _Memo(), _Memo()
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' joined text is these two tokens.
@@ -83,10 +115,7 @@ class PrefixBPE:
         The merges that made them are undone latest first.  A pair that faces across the border
         at some moment and could merge before the merge undone last would have merged there.
         """
-        key = (left, right)
-        known = self._fits.get(key)
-        if known is not None:
-            return known
+        place, pair = left * _SPREAD + right & PAIRS - 1, left << 32 | right
         rank, made, parts = self.rank, self.made, self.parts
         before = float("inf")  # merges across the border with a lower time would have come first
         answer = True
@@ -102,9 +131,7 @@ class PrefixBPE:
                 before, left = a, parts[left][1]
             else:  # on the right: one across of the same rank would have come first, from left to right
                 before, right = b + 0.5, parts[right][0]
-        if len(self._fits) >= MEMO:
-            self._fits.clear()
-        self._fits[key] = answer
+        self._fits[place] = pair << 1 | answer
         return answer
 
     def own(self, token: int) -> bool:
@@ -136,6 +163,7 @@ class PrefixBPE:
         last: list[int] = [-1] * (n + 2)
         size = [0] * (n + 2)
         last[0] = -2
+        fits = self._fits
         for end, (token, length) in self._auto.iter(word + _END):
             end += 1
             if last[end] != -1:
@@ -143,8 +171,11 @@ class PrefixBPE:
             before = last[end - length]
             if before == -1:
                 continue
-            if self.own(token) and (before == -2 or self.compatible(before, token)):
-                last[end], size[end] = token, length
+            if before >= 0:
+                known = fits[before * _SPREAD + token & PAIRS - 1]
+                if not (known & 1 if known >> 1 == before << 32 | token else self.compatible(before, token)):
+                    continue
+            last[end], size[end] = token, length
         at, ids = n + 1, []
         while at > 0:
             if last[at] < 0:
@@ -153,43 +184,38 @@ class PrefixBPE:
             at -= size[at]
         return tuple(reversed(ids))
 
-    def _pieces(self, text: str) -> list[str]:
-        if self._plain_rules and max(text) < "ɐ":  # composed Latin letters: the general rules come to this
-            found = self._latin.findall(text.lower())
-            return found if text.isascii() and text.isprintable() else ["".join(map(self._char.__getitem__, x.encode())) for x in found]
-        return [w for w, _ in self._split(self._normalize(text))]
-
-    def unspaced(self, raw: bytes) -> tuple[int, ...]:
-        """Ids of a text without ASCII white space.  No rule of the tokenizer looks past such white space."""
+    def _ids(self, pieces: list[str], memo: _Memo, in_bytes: bool) -> list[int]:
+        ids: list[int] = []
+        known = memo.new.get
+        for w in pieces:
+            found = known(w)
+            if found is None:
+                found = memo.old.get(w) or self.word(w if in_bytes else "".join(map(self._char.__getitem__, w.encode())))
+                if len(w) <= KEPT:
+                    known = memo.keep(w, found)
+            ids += found
+        return ids
+
+    def _unspaced(self, text: str) -> list[int]:
+        """Ids of a text without ASCII white space, by the tokenizer's own rules."""
         ids: list[int] = []
-        text = raw.decode()
         for part in self._specials.split(text) if self._specials and "<|" in text else (text,):
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
-                for w in self._pieces(part):
-                    known = self._words.get(w)
-                    if known is None:
-                        known = self.word(w)
-                        if len(w) <= KEPT:
-                            if len(self._words) >= MEMO:
-                                self._words.clear()
-                            self._words[w] = known
-                    ids += known
-        return tuple(ids)
+                ids += self._ids([w for w, _ in self._split(self._normalize(part))], self._memo, True)
+        return ids
 
     def encode(self, text: str) -> list[int]:
+        """Ids of a text.  No rule of the tokenizer looks past ASCII white space, so texts are taken apart there.
+
+        For composed Latin letters the general rules come down to one pattern over the text in lower case.
+        """
+        if self.plain_rules and "<|" not in text and not _OTHER.search(text):
+            return self._ids(_LATIN.findall(text.lower()), self._latin_memo, False)
         out: list[int] = []
-        memo = self._texts
         for raw in text.encode().split():  # bytes.split: exactly the ASCII white space
-            ids = memo.get(raw)
-            if ids is None:
-                ids = self.unspaced(raw)
-                if len(raw) <= KEPT:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[raw] = ids
-            out += ids
+            out += self._unspaced(raw.decode())
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -227,7 +253,7 @@ def encode_decode(df: DataFrame, text: str = "text", path: str | None = None, id
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(coded, pa.list_(pa.int32())), pa.array(map(bpe.decode, coded), pa.string())], names=names)
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(tidied(run), schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import table
+from .frames import table, tidied
 from .langid import remainder
 from .scratch import drop, stored
 from .tokens import LOWER, Words, mix, text_chunks
@@ -372,7 +372,7 @@ def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tup
     """The model of a frame with one text column, and the table (word, shape, n, klass) of all its words but the units."""
     spark = texts.sparkSession
     sc = spark.sparkContext
-    counted = texts.mapInArrow(_vocabulary, "word long, shape int, n long").groupBy("word").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
+    counted = texts.mapInArrow(tidied(_vocabulary), "word long, shape int, n long").groupBy("word").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
     counted = stored(counted, "brown-words")
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = int(END.view(np.int64))
@@ -388,14 +388,14 @@ def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tup
         unit_tokens[len(units.words) + r["shape"]], once[len(units.words) + r["shape"]] = r["n"], r["once"]
     drop(counted)
     shared = sc.broadcast(units)
-    pairs = stored(texts.mapInArrow(_bigrams(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "brown-pairs")
+    pairs = stored(texts.mapInArrow(tidied(_bigrams(shared)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "brown-pairs")
     order = np.argsort(-unit_tokens, kind="stable")
     of = np.full(units.count, classes)
     of[order[:classes]] = np.arange(min(classes, units.count))
     for turn in range(rounds + 1):
         known = sc.broadcast(of)
         wide = int(of.max()) + 1
-        sums = fetch(pairs.mapInArrow(_profiles(known), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")))
+        sums = fetch(pairs.mapInArrow(tidied(_profiles(known)), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")))
         flat = np.zeros(2 * units.count * wide + units.count)
         flat[sums[0]] = sums[1]
         left, right = flat[: 2 * units.count * wide].reshape(2, units.count, wide)
@@ -405,16 +405,16 @@ def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tup
     between = np.zeros((wide, wide))
     np.add.at(between.T, of, left)
     drop(pairs)
-    entries = texts.mapInArrow(_neighbours(sc.broadcast((units, of))), "word long, around long, n long")
+    entries = texts.mapInArrow(tidied(_neighbours(sc.broadcast((units, of)))), "word long, around long, n long")
     entries = entries.repartition("word").sortWithinPartitions("word")
-    words = stored(entries.mapInArrow(_placed(sc.broadcast((between, of[len(units.words) :]))), "word long, shape int, n long, klass int"), "brown-classes")
+    words = stored(entries.mapInArrow(tidied(_placed(sc.broadcast((between, of[len(units.words) :])))), "word long, shape int, n long, klass int"), "brown-classes")
     word, count, klass = fetch(words.where(F.col("n") * DICTIONARY >= total).select("word", "n", "klass"))
     unit_class = of[np.searchsorted(units.words, unit_words)]
     lexicon = Lexicon(units, of, np.append(word.view(np.uint64), unit_words), np.append(count, unit_counts).astype(np.int64), np.append(klass, unit_class).astype(np.int64))
     class_tokens = np.bincount(unit_class, unit_counts, wide)
     for r in words.groupBy("klass").agg(F.sum("n").alias("n")).collect():
         class_tokens[r["klass"]] += r["n"]
-    steps = stored(texts.mapInArrow(_steps(sc.broadcast(lexicon)), "word long, before int, after int, next long, n long"), "brown-steps")
+    steps = stored(texts.mapInArrow(tidied(_steps(sc.broadcast(lexicon))), "word long, before int, after int, next long, n long"), "brown-steps")
     rarer = words.where(F.col("n") * DICTIONARY < total).select("word", "klass")
     first = steps.where("word is not null").join(rarer, "word")
     second = first.where("next is not null").select("klass", F.col("next").alias("word")).join(rarer.withColumnRenamed("klass", "after"), "word")
@@ -431,7 +431,7 @@ def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tup
     return ClassModel(lexicon, class_pairs, class_tokens, unit_tokens, total, distinct), words
 
 
-_ROW = "doc_id long, held_out boolean, salt long, rows long, n_tokens long, n_known long, base double, score double"
+_ROW = "doc_id {}, held_out boolean, salt long, rows long, n_tokens long, n_known long, base double, score double"
 
 
 def _local(model):
@@ -482,9 +482,10 @@ def score(df: DataFrame, model: ClassModel, words: DataFrame, doc_id: str = "doc
     A row is known by its id and a hash of its text; equal rows are folded and told apart again at the end.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.xxhash64(text).alias("salt"), F.col(text).alias("text"))
-    local = rows.mapInArrow(_local(shared), _ROW)
-    rare = rows.mapInArrow(_rare(shared), "doc_id long, held_out boolean, salt long, word long, shape int, before int, after int, next long, next_shape int, times long")
+    rows = df.select(F.col(doc_id).alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.xxhash64(text).alias("salt"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    local = rows.mapInArrow(tidied(_local(shared)), _ROW.format(kind))
+    rare = rows.mapInArrow(tidied(_rare(shared)), f"doc_id {kind}, held_out boolean, salt long, word long, shape int, before int, after int, next long, next_shape int, times long")
     listed = lambda x: F.from_json(F.lit(json.dumps(x.reshape(-1).tolist())), "array<double>")
     groups = len(model.units.words)
     wide, step, norm = len(model.step), listed(model.step), listed(model.norm)

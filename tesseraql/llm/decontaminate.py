@@ -11,12 +11,14 @@ Myers' bit-parallel distance.
 Items come in blocks of bounded size, each broadcast and held against all documents.
 
 Cases: null and empty items and documents have no hits; items under 1 / budget symbols must
-appear unchanged; equal items each get their rows, repeated documents too; empty tables give
-empty results.
+appear unchanged; equal items each get their rows, repeated documents too; of several places with
+one distance the first found counts; texts of any length are searched whole; ids may be null or of
+any type, and other columns, whatever their names, are left out; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -25,8 +27,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .frames import table
+from .frames import table, tidied
 
 BUDGET = 0.1
 #: Characters of items in one block.
@@ -168,29 +172,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET,
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    schema = T.StructType([source.schema["doc_id"], items.schema["item_id"]]).add("distance", T.IntegerType()).add("item_chars", T.IntegerType()).add("found_text", T.StringType())
     out = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast([(r["item_id"], normal(r["text"])) for r in part.collect()])
-        found = source.mapInArrow(_search(shared, budget), "doc_id long, item_id long, distance int, item_chars int, found_text string")
+        shared = spark.sparkContext.broadcast(Items([(r["item_id"], normal(r["text"])) for r in part.collect()], budget))
+        found = source.mapInArrow(tidied(_search(shared, to_arrow_type(items.schema["item_id"].dataType))), schema)
         out = found if out is None else out.union(found)
     return out
 
 
-def _search(shared, budget: float):
+class Items:
+    """The items of a block; a worker builds their automaton once and lets go of it with the broadcast."""
+
+    def __init__(self, rows: list[tuple], budget: float):
+        self.rows, self.budget = rows, budget
+
+    @functools.cached_property
+    def block(self) -> Block:
+        return Block(self.rows, self.budget)
+
+
+def _search(shared, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = None
+        block = shared.value.block
         for batch in batches:
-            block = block or Block(shared.value, budget)
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for at, text in enumerate(batch.column(1)):
                 t = normal(text.as_py())
                 for n, (distance, end) in block.search(t).items():
                     size = len(block.items[n].text)
-                    rows.append((doc, block.items[n].id, distance, size, t[max(0, end - size) : end]))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "item_id", "distance", "item_chars", "found_text"])
+                    rows.append((at, block.items[n].id, distance, size, t[max(0, end - size) : end]))
+            at, *rest = zip(*rows) if rows else ((),) * 5
+            columns = [pa.array(x, k) for x, k in zip(rest, (kind, pa.int32(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["doc_id", "item_id", "distance", "item_chars", "found_text"])
 
     return run
 

@@ -1,6 +1,7 @@
 """Language identification by cross-parsing.
 
-Per language a suffix automaton of a bounded sample of labelled text is built.  A text is cut
+Per language a suffix automaton of a bounded sample of labelled text is built (SAMPLE_SYMBOLS symbols, so
+the model grows with the number of languages only, by some 1.5 MB each).  A text is cut
 greedily into phrases, each the longest match in that automaton from where the last one ended
 (a letter that the sample lacks is a phrase of its own).  The fewer phrases, the lower the
 cross entropy; the language that needs fewest phrases per symbol wins, ties by language name.
@@ -14,6 +15,7 @@ whole.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +26,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import adding, table, without
+from .frames import adding, table, tidied, without
 
-#: Symbols of training text for each language, and documents asked for to get them.
-SAMPLE_SYMBOLS = 30_000
+#: Symbols of training text for each language, and documents that share them evenly.
+SAMPLE_SYMBOLS = 60_000
 SAMPLE_DOCS = 150
 #: Texts with at most so many symbols in all are parsed side by side.
 SIDE_BY_SIDE = 1_000_000
 #: Longest piece of a text that is parsed in one go.
 PIECE = 2048
+_LOW = (1 << 32) - 1
 _GAPS = regex.compile(r"\P{L}+")
 
 
@@ -73,41 +76,92 @@ class _Automaton:
         self.step = step
 
 
+def _packed(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, list[int]]:
+    """The sparse rows laid over each other in one table, and where each of them begins.
+
+    rows: next row by symbol.  The entry of row r and symbol c stands at begin[r] + c and holds
+    begin[r] << 32 | begin[next]; no two rows begin at one place, so an entry of another row is told
+    apart.  Full rows come first, and rows of one symbol fill the holes.
+    """
+    used, begins = bytearray(width + 1), bytearray(width + 1)
+    begin, at = [0] * len(rows), 0
+
+    def room(upto: int) -> None:
+        if upto >= len(used):
+            more = upto + len(used)
+            used.extend(bytes(more))
+            begins.extend(bytes(more))
+
+    for r in sorted((r for r, row in enumerate(rows) if len(row) > 1), key=lambda r: -len(rows[r])):
+        row, b, tries = rows[r], at, 0
+        while True:
+            room(b + width)
+            if not begins[b] and not any(used[b + c] for c in row):
+                break
+            b += 1
+            tries += 1
+        if tries > 8:  # little room below
+            at = max(at, b - 64)
+        begin[r], begins[b] = b, 1
+        for c in row:
+            used[b + c] = 1
+    p = 0
+    for r, row in enumerate(rows):
+        if len(row) < 2:
+            c = next(iter(row), 0)  # a row without entries only needs a beginning of its own
+            while True:
+                room(p + width)
+                if p >= c and not begins[p - c] and not used[p]:
+                    break
+                p += 1
+            begin[r], begins[p - c] = p - c, 1
+            used[p] = bool(row)
+            p += 1
+    table = np.full(len(used), -1, np.int64)
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    start = np.array(begin, np.int64)
+    owner = np.repeat(start, size)
+    symbol = np.fromiter((c for row in rows for c in row), np.int64, int(size.sum()))
+    to = np.fromiter((n for row in rows for n in row.values()), np.int64, int(size.sum()))
+    table[owner + symbol] = owner << 32 | start[to]
+    return table[: int(start.max()) + width + 1], begin
+
+
 class CrossParser:
-    """One table of transitions for the automata of all languages.
+    """One table of transitions for the automata of all languages, as sparse rows laid over each other.
 
-    A state is the place of its row in the flat table, so the next one is table[state + symbol].
+    A state is the place where its row begins: table[state + symbol] holds state << 32 | next state, or
+    something else if there is no such transition.
     """
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         letters = sorted({c for s in samples.values() for c in s})
         self.code = {c: n + 1 for n, c in enumerate(letters)}  # 0: a symbol that no sample has
-        self.width = len(letters) + 1
-        parts, roots, base = [], [], 0
+        rows: list[dict[int, int]] = []
+        first = []
         for lang in self.langs:
-            steps = _Automaton(samples[lang]).step
-            part = np.full((len(steps), self.width), -1, np.int32)
-            for n, s in enumerate(steps):
-                for c, to in s.items():
-                    part[n, self.code[c]] = (to + base) * self.width
-            roots.append(base * self.width)
-            base += len(steps)
-            parts.append(part)
-        self.table = np.concatenate(parts).reshape(-1) if parts else np.zeros(0, np.int32)
-        self.roots = np.array(roots, np.int64)
-        self._known = np.zeros(256, np.uint16)
+            base = len(rows)
+            first.append(base)
+            rows += [{self.code[c]: to + base for c, to in s.items()} for s in _Automaton(samples[lang]).step]
+        self.table, begin = _packed(rows, len(letters) + 1) if rows else (np.zeros(0, np.int64), [])
+        self.roots = np.array([begin[n] for n in first], np.int64)
+        self._known = np.zeros(256, np.int32)
         for c, n in self.code.items():
             self._put(ord(c), n)
 
     def _put(self, point: int, n: int) -> None:
         if point >= len(self._known):
-            self._known = np.concatenate([self._known, np.zeros(point + 256 - len(self._known), np.uint16)])
+            self._known = np.concatenate([self._known, np.zeros(point + 256 - len(self._known), np.int32)])
         self._known[point] = n
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(symbols(text).encode("utf-32-le", "surrogatepass"), np.uint32)
-        return np.where(points < len(self._known), self._known[np.minimum(points, len(self._known) - 1)], 0).astype(np.uint16)
+        return np.where(points < len(self._known), self._known[np.minimum(points, len(self._known) - 1)], 0).astype(np.int32)
+
+    def _next(self, state: int, symbol: int) -> int:
+        entry = self.table.item(state + symbol)
+        return entry & _LOW if entry >> 32 == state else -1
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Number of phrases of each text for each language.
@@ -142,20 +196,20 @@ class CrossParser:
 
     def _follow(self, piece: list[int], real: int, root: int) -> tuple[int, int, bool]:
         """Phrases that the real parse of a piece ends more than one from the root, its state, and whether the two met."""
-        table, other, more = self.table, root, 0
+        other, more, step = root, 0, self._next
         for c in piece:
-            to = table.item(real + c)
+            to = step(real, c)
             if to < 0:
                 more += real != root
-                to = table.item(root + c)
+                to = step(root, c)
                 if to < 0:
                     more += 1
                     to = root
             real = to
-            to = table.item(other + c)
+            to = step(other, c)
             if to < 0:
                 more -= other != root
-                to = table.item(root + c)
+                to = step(root, c)
                 if to < 0:
                     more -= 1
                     to = root
@@ -171,7 +225,7 @@ class CrossParser:
         size = size[order]
         flat = np.concatenate([texts[k] for k in order]).astype(np.int32) if len(texts) else np.zeros(0, np.int32)
         start = np.cumsum(size) - size
-        roots = self.roots.astype(np.int32)
+        roots = self.roots
         state, count = np.repeat(roots[:, None], len(texts), axis=1), np.zeros((langs, len(texts)), np.int64)
         table, alive = self.table, len(texts)
         for at in range(int(size[0]) if len(texts) else 0):
@@ -179,12 +233,14 @@ class CrossParser:
                 alive -= 1
             c = flat[start[:alive] + at]
             now = state[:, :alive]
-            to = table.take(now + c)
-            lang, text = np.nonzero(to < 0)
+            entry = table.take(now + c)
+            to = entry & _LOW
+            lang, text = np.nonzero(entry >> 32 != now)
             if len(lang):  # a phrase ends before this symbol, and the next one begins with it
                 root = roots[lang]
                 again = table.take(root + c[text])
-                lone = again < 0
+                lone = again >> 32 != root
+                again &= _LOW
                 count[lang, text] += (now[lang, text] != root).astype(np.int64) + lone
                 to[lang, text] = np.where(lone, root, again)
             state[:, :alive] = to
@@ -220,29 +276,38 @@ class CrossParser:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_symbols: int = SAMPLE_SYMBOLS, sample_docs: int = SAMPLE_DOCS) -> CrossParser:
-    """Fit on a bounded sample: for each language about sample_docs rows, those whose text hashes lowest.
+    """Fit on a bounded sample: for each language about 2 * sample_docs rows, those whose text hashes lowest.
 
-    Their symbols are taken up to sample_symbols.  The rows come to the driver; they are at most
-    a few times sample_docs for each language, each cut to the symbols asked for.
+    Of each a stretch from a place that its hash names comes to the driver.  In the order of the hashes
+    each gives an equal share of sample_symbols; what short texts leave, the others fill.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.expr(f"xxhash64(`{text}`, 6)").alias("h"))
+    h = F.expr(f"xxhash64(`{text}`, 6)")
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), h.alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return CrossParser({})
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, 2.0 * sample_docs / n))).otherwise(share)
+    facts = {k: {"share": min(1.0, 2.0 * sample_docs / n), "size": 4 * -(-sample_symbols // min(n, sample_docs))} for k, n in counts.items()}
+    fact = F.element_at(F.from_json(F.lit(json.dumps(facts)), "map<string,struct<share:double,size:int>>"), F.col("lang"))
     # the hash as a number from 0 to 1, against the share of this language's rows that is wanted
-    picked = rows.where(F.col("h").cast("double") / F.lit(2.0**64) + 0.5 <= share).select("lang", "h", F.substring("text", 1, 4 * sample_symbols).alias("text"))
+    picked = rows.withColumn("fact", fact).where(F.col("h").cast("double") / F.lit(2.0**64) + 0.5 <= F.col("fact.share"))
+    begin = F.pmod(F.col("h"), F.greatest(F.length("text") - F.col("fact.size"), F.lit(0)) + 1).cast("int") + 1
+    picked = picked.select("lang", "h", F.substring("text", begin, F.col("fact.size")).alias("text"))
     picked = picked.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies of a text count once, here and in the shares
-    samples: dict[str, list[str]] = {name: [] for name in counts}
-    size = dict.fromkeys(counts, 0)
+    found: dict[str, list[str]] = {name: [] for name in counts}
     for r in sorted(picked.collect(), key=lambda r: (r["h"], r["text"])):
-        if size[r["lang"]] < sample_symbols:
-            s = symbols(r["text"])[: sample_symbols - size[r["lang"]]]
-            samples[r["lang"]].append(s)
-            size[r["lang"]] += len(s)
-    return CrossParser({k: " ".join(v) for k, v in samples.items() if any(v)})
+        found[r["lang"]].append(symbols(r["text"]))
+    samples = {}
+    for name, texts in found.items():
+        share, taken, size = -(-sample_symbols // min(max(1, len(texts)), sample_docs)), [], 0
+        for rest in (False, True):
+            for t in texts:
+                part = (t[share:] if rest else t[:share])[: max(0, sample_symbols - size)]
+                if part:
+                    taken.append(part)
+                    size += len(part)
+        if taken:
+            samples[name] = " ".join(taken)
+    return CrossParser(samples)
 
 
 def identify(df: DataFrame, parser: CrossParser, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -266,7 +331,7 @@ def identify(df: DataFrame, parser: CrossParser, text: str = "text", lang_pred:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names=names)
                 at = end
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(tidied(run), schema)
 
 
 def remainder(doc_id: str, by: int) -> Column:

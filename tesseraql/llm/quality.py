@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import adding, table, without
+from .frames import adding, table, tidied, without
 from .tokens import Words, mix, text_chunks
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_upper_words", "n_pipe_words", "n_equal_neighbours")
@@ -117,7 +117,7 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     failed = F.lit(0).cast("long")
     for n, (_, condition) in enumerate(RULES):
         failed = failed.bitwiseOR(F.when(F.expr(condition), F.lit(1 << n)).otherwise(F.lit(0)).cast("long"))
-    return keep.mapInArrow(run, schema).withColumn("failed", failed)
+    return keep.mapInArrow(tidied(run), schema).withColumn("failed", failed)
 
 
 def mask(rules: tuple[str, ...]) -> int:

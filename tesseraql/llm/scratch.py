@@ -1,6 +1,8 @@
-"""Tables and checkpoints in the folder that driver and executors share.
+"""Tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names it; only where that is unset (local tests) a local folder is used.
+``spark.checkpoint.dir`` names it, or else the context's checkpoint directory; only a local master
+without either gets a local folder, a cluster an error.  What is not dropped before goes when the
+application ends.
 """
 
 from __future__ import annotations
@@ -16,16 +18,22 @@ _made: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; sets the context's checkpoint directory if it has none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        if not _made:
-            _made.append(tempfile.mkdtemp(prefix="tesseraql-"))
-            atexit.register(shutil.rmtree, _made[0], ignore_errors=True)
-        at = f"file://{_made[0]}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+    """The shared folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at:
+        return at
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _made:
+        _made.append(tempfile.mkdtemp(prefix="tesseraql-"))
+        atexit.register(shutil.rmtree, _made[0], ignore_errors=True)
+    return f"file://{_made[0]}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -34,21 +42,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
-def drop(df: DataFrame) -> None:
+def drop(*frames: DataFrame) -> None:
     """Remove the files of stored()."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint(), for small tables."""
-    folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    for df in frames:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            fs, at = _file_system(df.sparkSession, path)
+            fs.delete(at, True)
+            fs.cancelDeleteOnExit(at)

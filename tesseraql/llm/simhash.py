@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .frames import adding, table, without
+from .frames import adding, table, tidied, without
 from .scratch import drop, stored
 from .tokens import LOWER
 
@@ -79,7 +79,7 @@ def fingerprints(df: DataFrame, text: str = "text", fp: str = "fp") -> DataFrame
             found = np.array([fingerprint(x.as_py()) for x in column], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=schema.names)
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(tidied(run), schema)
 
 
 def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -146,7 +146,7 @@ def links(distinct: DataFrame) -> DataFrame:
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, own) as i, greatest(x, own) as j))")
     dealt = sized.select("k", "fp", "blocks", own.cast("int").alias("own")).select("k", "fp", F.explode(pairs).alias("p")).select("k", F.col("p.i").cast("long").alias("i"), F.col("p.j").cast("long").alias("j"), "fp")
     meeting = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    out = stored(meeting.mapInArrow(_met, "a long, b long"), "simhash-links")
+    out = stored(meeting.mapInArrow(tidied(_met), "a long, b long"), "simhash-links")
     drop(rows)
     return out
 

@@ -11,10 +11,15 @@ So every window of ``window`` words has an interior of high-level symbols that d
 words alone.  Its longest such symbol is its anchor.  Consecutive windows with one anchor are a
 chunk.  Spark counts the anchors' names:
 
-* a name that occurs once has no repeated window;
-* a name of which all occurrences stand in equal chunks has only repeated windows;
+* a name that occurs once has no repeated window (equal windows have equal anchors, so this is exact);
+* a name of which all occurrences stand in equal chunks has only repeated windows; chunks of one name are
+  verified by a 64-bit hash of all their words, of another kind than names, and their number;
 * for the windows of other names, 128-bit hashes of their words are counted.
 
+A passage is wrongly taken for a repeat only if such hashes of different words are equal: for p pairs of
+chunks that share a name and w open windows the odds are about p / 2^64 + w * w / 2^129, which is under one
+in a million for 10^13 pairs and 10^16 windows.  No repeat is ever missed.
+
 Words of windows counted twice or more go.  All counts are partial sums before any shuffle, and
 joins are on names, window hashes or rows, so a passage that many rows share is no hot task.
 
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import adding, table, without
+from .frames import adding, table, tidied, without
 from .scratch import drop, stored
 from .tokens import Words, mix, stream, text_chunks
 
@@ -253,12 +258,14 @@ def _covered(names: list[str], column: str, window: int):
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, kept: str = "kept", n_words: str = "n_words", n_removed: str = "n_removed") -> DataFrame:
     """The frame with the words that stay (joined by one space), the number of words and of those removed.
 
-    Windows are judged on the input.  A row is known by its id and a hash of its text, so ids may repeat.
+    Windows are judged on the input.  A row is known by 128 bits of its id, whatever its type or if it is null,
+    and its text, so ids may repeat or be missing; rows that are equal in both are one row with one result.
     """
     base = without(df, kept, n_words, n_removed, "__key", "__salt", "__shared", "__at")
-    docs = base.withColumns({"__key": F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), "__salt": F.hash(text)})
+    named = F.concat_ws(":", F.col(doc_id).isNotNull().cast("string"), F.col(doc_id).cast("string"))
+    docs = base.withColumns({"__key": F.xxhash64(named, text), "__salt": F.xxhash64(text, F.lit("second"), named)})
     mine = ["__key", "__salt"]
-    chunks = stored(docs.select("__key", "__salt", text).mapInArrow(_chunks(window), "name long, words long, key long, salt int, rank int"), "substring-chunks")
+    chunks = stored(docs.select("__key", "__salt", text).mapInArrow(tidied(_chunks(window)), "name long, words long, key long, salt long, rank int"), "substring-chunks")
     names = chunks.groupBy("name").agg(F.count("*").alias("n"), F.min("words").alias("a"), F.max("words").alias("b")).where("n > 1").select("name", F.when(F.col("a") == F.col("b"), 1).otherwise(0).alias("settled"))
     # a table of its own: joined straight to its source, the names would be dealt as the counts were, and
     # a name in a large part of the rows could not be split
@@ -268,13 +275,13 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     drop(chunks)
     drop(names)
     joined = docs.join(flagged, mine, "left")
-    windows = stored(joined.where("__shared is not null").select("__key", "__salt", text, "__shared").mapInArrow(_open_windows(window), "h1 long, h2 long, key long, salt int, at int"), "substring-windows")
+    windows = stored(joined.where("__shared is not null").select("__key", "__salt", text, "__shared").mapInArrow(tidied(_open_windows(window)), "h1 long, h2 long, key long, salt long, at int"), "substring-windows")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     twice = stored(twice, "substring-twice")  # as above
     hits = windows.join(twice, ["h1", "h2"]).groupBy(F.col("key").alias("__key"), F.col("salt").alias("__salt")).agg(F.collect_set("at").alias("__at"))
     schema = adding(base, (kept, T.StringType()), (n_words, T.LongType()), (n_removed, T.LongType()))
     final = docs.join(flagged, mine, "left").join(hits, mine, "left").drop(*mine)
-    return final.mapInArrow(_covered(schema.names, text, window), schema)
+    return final.mapInArrow(tidied(_covered(schema.names, text, window)), schema)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

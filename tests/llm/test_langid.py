@@ -60,3 +60,34 @@ def test_held_out_accuracy(spark, floor):
     assert len(rows) > 200
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > floor
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_the_table_follows_the_text_not_the_alphabet():
+    """Many letters and many languages: the size is that of the transitions."""
+    import random
+
+    rng = random.Random(4)
+    wide = {f"z{k}": "".join(chr(0x4E00 + rng.randrange(6000)) for _ in range(9000)) for k in range(3)}
+    parser = langid.CrossParser(wide)
+    assert len(parser.code) > 5500 and parser.table.nbytes < 3 * 9000 * 3 * 8 * 2
+    texts = [wide["z1"][500:560], "".join(chr(0x4E00 + rng.randrange(6000)) for _ in range(50)), "abc"]
+    want = [[phrases(langid.symbols(t), wide[k]) for k in parser.langs] for t in texts]
+    assert parser.phrases([parser.codes(t) for t in texts]).tolist() == want
+    many = {f"l{k:02}": "".join(rng.choice("abcdefgh ") + chr(97 + k % 26) for _ in range(400)) for k in range(50)}
+    parser = langid.CrossParser(many)
+    texts = [many["l07"][100:160], "qrs tuv"]
+    want = [[phrases(langid.symbols(t), many[k]) for k in parser.langs] for t in texts]
+    assert parser.phrases([parser.codes(t) for t in texts]).tolist() == want
+
+
+def test_a_long_text_gives_no_more_than_its_share(spark):
+    rows = [(n, " ".join(f"w{n}x{k}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(40)), "a") for n in range(60)] + [(99, "zzz " * 50_000, "a"), (100, "other", "b"), (None, "third", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    real, langid.CrossParser = langid.CrossParser, lambda samples: seen.update(samples)
+    try:
+        langid.learn(df, sample_symbols=3000, sample_docs=30)
+    finally:
+        langid.CrossParser = real
+    assert set(seen) == {"a", "b", "c"} and seen["b"] == "other"
+    assert 2900 < len(seen["a"]) < 3100 and seen["a"].count("zzz") <= 60

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesseraql.llm import substrings
 
@@ -61,3 +62,26 @@ def test_one_long_text_and_no_text(spark):
     docs = [(1, " ".join(["loop", "of", "words"] * 8000)), (2, "y " * 100)]
     assert run(spark, docs) == brute(docs, 35)
     assert run(spark, []) == []
+
+
+def test_missing_and_odd_ids(spark):
+    """Rows without ids are told apart by their texts, however many there are."""
+    shared = " ".join(f"s{n}" for n in range(40))
+    texts = [f"only {n} " + " ".join(f"t{n}.{k}" for k in range(36)) for n in range(1500)] + [shared, shared + " more", "x " + shared]
+    got = sorted((r.n_removed, r.n_words) for r in substrings.remove_repeats(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(3)).collect())
+    assert got == [(0, 38)] * 1500 + [(40, 40), (40, 41), (40, 41)]
+    named = spark.createDataFrame([("a", shared), (None, shared), ("b", "none")], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.n_removed) for r in substrings.remove_repeats(named).collect()) == [("", 40), ("a", 40), ("b", 0)]
+
+
+def test_texts_with_one_short_hash_keep_their_own_words(spark):
+    """Different texts whose 32-bit hashes are equal, all without an id."""
+    df = spark.range(400_000).selectExpr("concat('k', id, ' ', repeat(concat('w', id, ' '), 3)) as text")
+    clash = [r.texts for r in df.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").collect()]
+    assert clash
+    rows = []
+    for a, b in clash:
+        rows += [a, b, b]  # b repeats as a whole, a does not
+    out = substrings.remove_repeats(spark.createDataFrame([(None, t) for t in rows], "doc_id long, text string"), window=4).collect()
+    first = {a for a, _ in clash}
+    assert all(r.n_removed == (0 if r.text in first else 4) for r in out)
