@@ -1,11 +1,11 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints of 64 bits are cut into three segments.  Two that differ in at most four bits differ
-in at most one bit of the first segment, or in at most one of the second, or in none of the third
-(2 + 2 + 1 errors would be five).  So each fingerprint enters a table under its value in every
-segment, and looks up the Hamming ball of radius 1 around its value in the first two; complete
-distances are then verified.  Of two values that differ in one bit, the one with 0 there looks up
-the other, so half a ball is enough.
+Fingerprints of 64 bits are cut into segments, and each enters a table under its value in every
+segment and looks up the Hamming ball of some radius around it; complete distances are then verified.
+Two fingerprints that differ in at most four bits are within the radius in at least one segment, since
+the radii plus one add up to over four: 1 + 1 + 0 in segments of 22, 22 and 20 bits, or, from
+MANY distinct fingerprints on, where so short segments would be full, 2 + 1 in two of 32 bits.  Of two
+values that differ, the lesser looks up the greater, so half a ball is enough.
 
 Exact copies are folded to distinct fingerprints first.  Rows that meet under a key are compared
 in numpy, and only links of a spanning forest leave a group, never all its pairs.  A key under
@@ -19,7 +19,9 @@ of result columns are replaced.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,9 @@ from .tokens import LOWER
 WIDTH, DISTANCE = 4, 4
 #: First bit and bits of each segment, and the radius of the ball looked up in it.
 SEGMENTS = ((0, 22, 1), (22, 22, 1), (44, 20, 0))
+WIDE_SEGMENTS = ((0, 32, 2), (32, 32, 1))
+#: Distinct fingerprints from which segments are wide: some 30 then meet by chance under a short segment's value.
+MANY = 1 << 25
 #: Rows that one task compares with each other under one key are at most twice this.
 BLOCK = 512
 #: A key with more rows than BLOCK * BLOCKS has blocks of more rows instead of more blocks.
@@ -126,20 +131,28 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(keys, fps)
 
 
+def _greater(value: Column, bits: int, radius: int, tag: int) -> Column:
+    """The values within the radius that are greater, each with a tag."""
+    masks = [sum(1 << b for b in flips) for r in range(1, radius + 1) for flips in combinations(range(bits), r)]
+    ball = F.transform(F.from_json(F.lit(json.dumps(masks)), "array<bigint>"), lambda m: value.bitwiseXOR(m))
+    return F.transform(F.filter(ball, lambda x: x > value), lambda x: x.bitwiseOR(tag))
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): enough links between distinct fingerprints (column fp) at DISTANCE or less to connect
     everything that all such links connect."""
     entries, probes = [], []
-    for n, (first, bits, radius) in enumerate(SEGMENTS):
+    for n, (first, bits, radius) in enumerate(SEGMENTS if distinct.count() < MANY else WIDE_SEGMENTS):
         value = F.shiftrightunsigned("fp", first).bitwiseAND((1 << bits) - 1)
         entries.append(value.bitwiseOR(n << 32))
         if radius:
-            probes += [F.when(value.bitwiseAND(1 << b) == 0, value.bitwiseOR(1 << b | n << 32)) for b in range(bits)]
+            probes.append(_greater(value, bits, radius, n << 32))
     places = distinct.select("fp", F.explode(F.array(*entries)).alias("k"))
-    asked = distinct.select("fp", F.explode(F.array_compact(F.array(*probes))).alias("k"))
+    asked = distinct.select("fp", F.explode(F.concat(*probes)).alias("k"))
     found = asked.join(places.select("k").distinct(), "k", "left_semi")
     rows = stored(places.select("k", "fp").union(found.select("k", "fp")), "simhash-keys")
-    sizes = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    # a table of its own, so that the join deals both sides anew and Spark can split a key with very many rows
+    sizes = stored(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
     n = F.col("n")
     sized = rows.join(sizes, "k").select("k", "fp", F.when(n > BLOCK, F.least(F.ceil(n / BLOCK), F.lit(BLOCKS))).otherwise(1).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("blocks").cast("long"))
@@ -147,7 +160,7 @@ def links(distinct: DataFrame) -> DataFrame:
     dealt = sized.select("k", "fp", "blocks", own.cast("int").alias("own")).select("k", "fp", F.explode(pairs).alias("p")).select("k", F.col("p.i").cast("long").alias("i"), F.col("p.j").cast("long").alias("j"), "fp")
     meeting = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
     out = stored(meeting.mapInArrow(tidied(_met), "a long, b long"), "simhash-links")
-    drop(rows)
+    drop(rows, sizes)
     return out
 
 

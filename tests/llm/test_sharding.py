@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 from tesseraql.llm import sharding as S
 
@@ -52,3 +53,36 @@ def test_one_text_holds_most_bytes(spark):
     df = spark.createDataFrame([(0, "x" * 100_000)] + [(n, "y") for n in range(1, 100)], "doc_id long, text string")
     rows = S.shard(df).collect()
     assert len(rows) == 100 and {r.shard for r in rows} == set(range(8))
+
+
+def test_copies_of_one_row_are_spread(spark, monkeypatch):
+    """Nine rows in ten are one record: shards stay within one part in a hundred."""
+    monkeypatch.setattr(S, "COPIES", 500)
+    one = "the very same text of some length " * 3
+    rows = [(7, one)] * 18_000 + [(None, None)] * 400 + [(n, f"text {n} " * 4) for n in range(1600)]
+    got = S.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r)
+    loads = [sum(r.size for r in v) for v in by.values()]
+    assert len(by) == 8 and max(loads) - min(loads) <= 0.01 * min(loads)
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
+    assert max(Counter(r.vslot for r in got).values()) < 60
+
+
+def test_the_stored_map_is_edited(spark, tmp_path):
+    """A later run starts from the newest version and moves few records; without need it edits nothing."""
+    store = f"file://{tmp_path}/map"
+    rng = random.Random(2)
+    rows = [(n, "x" * rng.randint(1, 300)) for n in range(4000)]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    first = {r.doc_id: r.shard for r in S.shard(frame(rows), store=store).collect()}
+    again = S.shard(frame(rows), store=store).collect()
+    assert {r.doc_id: r.shard for r in again} == first and {r.map_version for r in again} == {1}
+    more = rows + [(n, "y" * rng.randint(1, 300)) for n in range(4000, 4400)]
+    later = S.shard(frame(more), store=store).collect()
+    assert {r.map_version for r in later} == {2}
+    moved = sum(first[r.doc_id] != r.shard for r in later if r.doc_id in first)
+    assert moved < 0.1 * len(rows)
+    assert S.SlotMap.load(spark, store).version == 2 and S.SlotMap.load(spark, store, 1).version == 1

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tesseraql.llm import simhash
@@ -26,7 +27,9 @@ def brute_components(ids, fps):
         label = new
 
 
-def test_links_of_planted_fingerprints(spark):
+@pytest.mark.parametrize("many", [simhash.MANY, 1])
+def test_links_of_planted_fingerprints(spark, monkeypatch, many):
+    monkeypatch.setattr(simhash, "MANY", many)  # short and wide segments
     rng = random.Random(3)
     fps = [rng.getrandbits(64) for _ in range(300)]
     for f in fps[:120]:  # chains and clusters at all distances
