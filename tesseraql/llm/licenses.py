@@ -12,13 +12,14 @@ that the fit has not seen and on notices of families it does not know.  A family
 if the paragraph holds enough of the word pairs of one of its notices; else it is ``unknown``.
 
 A paragraph can be a notice if it holds one of ANCHORS, or enough of the word pairs of any notice to confirm
-its family.  Before pairs are counted a pattern sorts out texts that cannot: of each notice it names so many
-pairs that a text without them has too few left (_reachable).  Equal paragraphs are classified once and the
-result joined back, so common notices cost little.  The main path is DataFrame functions only;
-weights are a small fixed table.
+its family.  Before pairs are counted, texts are sorted out that cannot: of each notice so many words
+(stems) and pairs (_reachable) are looked for that a text without them has too few left.  Texts are read once.  Equal paragraphs are
+classified once and the result joined back, so common notices cost little.  The main path is DataFrame
+functions only; weights are a small fixed table.
 
 Cases: null and empty texts have no paragraphs; repeated rows each get their results; paragraphs
-of any length are read whole; empty tables give empty results.
+of any length are read whole; of families that are equally likely the first in the order of NOTICES
+counts; other columns, whatever their names, are left out; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ import functools
 import json
 import random
 import re
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import table
+from .scratch import stored
 
 #: Notices by family.
 NOTICES: dict[str, tuple[str, ...]] = {
@@ -40,33 +43,43 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "Released under the MIT License.",
         "This project is licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "SPDX-License-Identifier: MIT",
     ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "You may not use this file except in compliance with the Apache License, Version 2.0.",
         "This work is made available under the terms of the Apache 2.0 license.",
+        "SPDX-License-Identifier: Apache-2.0",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Released under the GPL v2 or later license.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "Distributed under the LGPL license.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
     ),
     "agpl": (
         "This service is licensed under the GNU Affero General Public License, version 3.",
         "Released under the AGPL license.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "bsd": (
         "Released under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions of the copyright holders are met.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation.",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the MPL 2.0 license.",
+        "SPDX-License-Identifier: MPL-2.0",
     ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
@@ -83,6 +96,8 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "cc0": (
         "Dedicated to the public domain under the CC0 license.",
         "To the extent possible under law, the authors waive all copyright and related rights to this work under CC0 1.0.",
+        "SPDX-License-Identifier: CC0-1.0",
+        "This work is made available under CC0 1.0.",
     ),
     "proprietary": (
         "Copyright by the publisher. All rights reserved.",
@@ -128,7 +143,7 @@ _BEFORE = ("", "Notice: ", "Copyright (c) 2021 the contributors. ", "For reuse p
 _AFTER = ("", " See the file for details.", " Please keep this line.", " Questions go to the editors.", " Last updated in May.")
 
 #: A paragraph with one of these, whatever its case, is judged even if it is like no notice below.
-ANCHORS = ("licens", "licenc", "copyright", "public domain", "permission is hereby", "free software", "redistribution and use", "rights reserved", "no part of this publication")
+ANCHORS = ("licens", "licenc", "copyright", "public domain", "permission is hereby", "free software", "redistribut", "rights reserved", "no part of this publication", "gnu", "gpl", "affero", "apache", "mozilla", "spdx", "cc0", "creative commons", "cc by", "cc-by")
 #: Stands for a blank line; in texts it is a space.
 MARK, BLANK = "\x01", "^[ \\t\\r\\f]*$"
 #: Share of a notice's word pairs that confirms its family.
@@ -249,18 +264,56 @@ def _anchored(text: Column) -> Column:
 
 
 def required(notice: str) -> list[str]:
-    """Pairs of a notice such that any text without them, and without ANCHORS, holds less than CONFIRMED of its pairs."""
-    common = lambda f: sum(f in features(n) for ns in NOTICES.values() for n in ns)
-    pairs = sorted({f for f in features(notice) if " " in f}, key=lambda f: (not any(a in f for a in ANCHORS), common(f), -len(f), f))
+    """Pairs of a notice such that any text without them, and without ANCHORS, holds less than CONFIRMED of its pairs.
+
+    Pairs with a long word are chosen, for they are rare in other texts.
+    """
+    anchored = lambda f: any(a in f for a in ANCHORS if " " not in a)
+    pairs = sorted({f for f in features(notice) if " " in f}, key=lambda f: (not anchored(f), -max(map(len, f.split())), f))
     least = next(k for k in range(len(pairs) + 1) if k / len(pairs) >= CONFIRMED)
-    return [f for f in pairs[: len(pairs) - least + 1] if not any(a in f for a in ANCHORS)]
+    return [f for f in pairs[: len(pairs) - least + 1] if not anchored(f)]
+
+
+def _required() -> list[str]:
+    return sorted({f for ns in NOTICES.values() for n in ns for f in required(n)})
 
 
 def _reachable(text: Column) -> Column:
-    pairs = sorted({f for ns in NOTICES.values() for n in ns for f in required(n)})
-    # tried at starts of words only, and by their first letters
-    heads = ("".join((c, "(?:", "|".join(f[1:].replace(" ", "[^a-z0-9]+") for f in pairs if f[0] == c), ")")) for c in sorted({f[0] for f in pairs}))
-    return _anchored(text) | F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(heads)})")
+    """Whether a text can hold a paragraph that is judged."""
+    # pairs are tried at starts of words only
+    heads = _by_letter(f.replace(" ", "[^a-z0-9]+") for f in _required())
+    return _anchored(text) | F.lower(text).rlike(f"(?<![a-z0-9])(?:{heads})")
+
+
+@functools.cache
+def stems() -> tuple[str, ...]:
+    """Words, or pairs of short ones with one space, such that a text without them and without ANCHORS holds less
+    than CONFIRMED of any notice's pairs.
+
+    Each notice needs so many of its pairs to have such a word that too few are left.
+    """
+    taken: set[str] = set()
+    covers = lambda x, f: x in f.split() if " " not in x else x == f
+    for notice in sorted((n for ns in NOTICES.values() for n in ns), key=len):
+        pairs = {f for f in features(notice) if " " in f}
+        least = next(k for k in range(len(pairs) + 1) if k / len(pairs) >= CONFIRMED)
+        left = {f for f in pairs if not any(a in f for a in ANCHORS) and not any(covers(x, f) for x in taken)}
+        while len(left) >= least:
+            most = lambda x: (len(x) > 6 and " " not in x, sum(covers(x, f) for f in left), len(x), x)
+            taken.add(max({x for f in left for x in (f, *f.split()) if len(x) > 6 or " " in x}, key=most))
+            left = {f for f in left if not any(covers(x, f) for x in taken)}
+    return tuple(sorted(taken))
+
+
+def _by_letter(words_: Iterable[str]) -> str:
+    """A pattern for any of some words, tried by their first letters."""
+    known = sorted(set(words_))
+    return "|".join(f"{c}(?:{'|'.join(w[1:] for w in known if w[0] == c)})" for c in sorted({w[0] for w in known}))
+
+
+def _likely(low: Column) -> Column:
+    """A quick necessary test of a text in lower case."""
+    return low.rlike(_by_letter((*ANCHORS, *stems())))
 
 
 def _rows(spark: SparkSession, values: list, kind: str) -> DataFrame:
@@ -271,10 +324,14 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Licen
     """(doc_id, paragraph, family, probability, similarity, confirmed, notice): a row for each licence notice."""
     model, spark = model or trained(), df.sparkSession
     # a blank line becomes a mark and its number, so that blocks keep their places
-    lines = F.transform(F.split(F.regexp_replace(text, MARK, " "), "\n"), lambda x, k: F.when(x.rlike(BLANK), F.concat(F.lit(MARK), k.cast("string"))).otherwise(x))
-    pieces = df.where(_reachable(F.col(text))).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.concat(F.lit("-1\n"), F.array_join(lines, "\n")), MARK)).alias("k", "piece"))
+    lines = F.transform(F.split(F.regexp_replace("text", MARK, " "), "\n"), lambda x, k: F.when(x.rlike(BLANK), F.concat(F.lit(MARK), k.cast("string"))).otherwise(x))
+    # as a generated column the text in lower case is made once, not once for each test
+    texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.explode(F.array(F.lower(text))).alias("low"))
+    pieces = texts.where(_likely(F.col("low"))).select("doc_id", F.posexplode(F.split(F.concat(F.lit("-1\n"), F.array_join(lines, "\n")), MARK)).alias("k", "piece"))
     blocks = pieces.select("doc_id", (F.substring_index("piece", "\n", 1).cast("int") + 1).alias("start"), F.regexp_replace("piece", "^-?[0-9]+\n?|\n$", "").alias("block"))
-    blocks = blocks.where(_reachable(F.col("block")))
+    # the texts are read once; what is left of them is small
+    low = F.explode(F.array(F.lower("block"))).alias("low")
+    blocks = stored(blocks.select("*", low).where(_likely(F.col("low"))).where(_reachable(F.col("block"))).drop("low"), "licence-blocks")
     parts = blocks.select("block").distinct()
     whole = F.array(F.struct(F.lit(-1).alias("at"), F.regexp_replace(F.trim("block"), "\\s*\n\\s*", " ").alias("notice")))
     single = F.transform(F.split("block", "\n"), lambda x, k: F.struct(k.cast("int").alias("at"), x.alias("notice")))
@@ -301,6 +358,8 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Licen
     like = F.array_max(F.transform(F.filter(likes, lambda x: x["fam"] == F.col("family")), lambda x: x["like"]))
     judged = scored.withColumn("similarity", like).withColumn("confirmed", (F.col("probability") >= model.threshold) & (F.col("similarity") >= CONFIRMED))
     named = judged.select("notice", F.when(F.col("confirmed"), F.col("family")).otherwise("unknown").alias("family"), "probability", "similarity", "confirmed")
+    # tables of their own here and below, so that a notice or block in a large part of the rows can be split in the joins
+    named = stored(named, "licence-named")
     fields = ("at", "family", "probability", "similarity", "confirmed", "notice")
     rows = found.join(named, "notice").groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("rows"))
     rows = rows.withColumn("whole", F.filter("rows", lambda x: (x["at"] < 0) & x["confirmed"]))
@@ -308,6 +367,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Licen
     known = F.transform(alone, lambda x: x["family"])
     new = F.exists("whole", lambda x: ~F.array_contains(known, x["family"]))
     rows = rows.select("block", F.when(new, F.concat("whole", alone)).otherwise(F.filter("rows", lambda x: x["at"] >= 0)).alias("rows"))
+    rows = stored(rows, "licence-rows")
     out = blocks.join(rows, "block").select("doc_id", "start", F.inline("rows"))
     return out.select("doc_id", (F.col("start") + F.greatest("at", F.lit(0))).alias("paragraph"), *fields[1:])
 
