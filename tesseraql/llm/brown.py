@@ -4,14 +4,15 @@ A text is lower-cased words and one end token.  Its probability is the product o
 P(class | class of the token before) * P(word | class); before the first token stands an end.
 Every training word has a class of its own, in two steps:
 
-Exchange clustering assigns units to classes.  A unit is a frequent word (at least one in WORD_UNITS
-of all tokens), or one of SHAPES groups of all other words by their last three bytes.  From the most
-frequent units as classes of their own, each round moves every unit to the class that raises the
-likelihood of the class bigrams most.  Spark sums the units' class profiles anew from the unit bigrams of
-the whole corpus before each round; only these sums, of fixed size, come to the driver.
+Exchange clustering assigns units to classes.  A unit is one of the WORD_UNITS commonest words, the end,
+or one of SHAPES groups of all other words by their last three bytes.  Spark counts the unit bigrams of the
+whole corpus; their matrix, of fixed size, comes to the driver in parts.  From the most frequent units as
+classes of their own, each round moves every unit to the class that raises the likelihood of the class
+bigrams most, by exact differences: all profiles follow every move.  It ends when a round moves none.
 
 Placement then takes every other training word out of its group and puts it into the class that raises
-that likelihood most, by exact differences with all other words left where they are.  Spark sums each
+that likelihood most, by exact differences with all other words left where they are, if the likelihood
+pays for naming the class (MOVE; a word seen once tells too little).  Spark sums each
 word's neighbours by class (at most two numbers a class), so this has no bound on words.  Neighbours
 outside the frequent words count by the classes of their groups here.  Class bigrams are then
 counted anew from all training texts, by the words' own classes.
@@ -42,8 +43,13 @@ from .langid import remainder
 from .scratch import drop, stored
 from .tokens import LOWER, Words, mix, text_chunks
 
-WORD_UNITS, SHAPES, DICTIONARY = 1 << 12, 1 << 11, 1 << 21
-CLASSES, ROUNDS = 64, 4
+WORD_UNITS, SHAPES, DICTIONARY = 1 << 11, 1 << 10, 1 << 21
+#: Rounds of exchange at most.
+CLASSES, ROUNDS = 64, 8
+#: What naming a word's class costs, in logarithms of the number of classes: the likelihood must pay for it.
+MOVE = 1.0
+#: Unit bigrams fetched at a time.
+FETCHED = 1 << 20
 #: Pseudo-counts of the class transitions and of units in their classes.
 ALPHA, DELTA = 5.0, 0.5
 END = np.uint64(0xE0D0F0C0B0A09080)
@@ -131,54 +137,33 @@ def _bigrams(units):
     return run
 
 
-def _profiles(classes):
-    """Sums of bigrams by unit and class: at [unit, class of the one before] and [unit, class of the one after]."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = classes.value
-        units, wide = len(of), int(of.max()) + 1
-        left, right, own = np.zeros(units * wide), np.zeros(units * wide), np.zeros(units)
-        for batch in batches:
-            pair, n = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.float64)
-            a, b = pair // units, pair % units
-            left += np.bincount(b * wide + of[a], n, units * wide)
-            right += np.bincount(a * wide + of[b], n, units * wide)
-            own += np.bincount(a[a == b], n[a == b], units)
-        every = np.concatenate([left, right, own])
-        at = np.flatnonzero(every)
-        for k in range(0, len(at), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000]), pa.array(every[at[k : k + 50_000]])], names=["at", "n"])
-
-    return run
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange(of: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, classes: int) -> np.ndarray:
+def exchange(of: np.ndarray, big: np.ndarray, classes: int) -> np.ndarray:
     """One round: each unit, the frequent first, goes to the class with the greatest likelihood.
 
-    left, right: the unit's bigrams by class of the neighbour, own: with itself.  Class counts follow every
-    move; the profiles are those from before the round.
+    big: the bigrams of units.  A unit whose class is ``classes`` has none yet.
     """
     of = of.copy()
-    wide = left.shape[1]
-    n = np.zeros((wide, wide))
-    np.add.at(n.T, of, left)
+    member = np.zeros((len(of), classes + 1))
+    member[np.arange(len(of)), of] = 1
+    left, right = big.T @ member, big @ member  # of each unit by class of the neighbour; they follow every move
+    n = member.T @ right
     row, col = n.sum(axis=1), n.sum(axis=0)
     total = left.sum(axis=1)
     for w in np.argsort(-total, kind="stable"):
         if not total[w] and not right[w].any():
             continue
-        a, s, lw, rw = of[w], own[w], left[w].copy(), right[w].copy()
+        a, s, lw, rw = int(of[w]), float(big[w, w]), left[w].copy(), right[w].copy()
         n[:, a] -= lw
         n[a, :] -= rw
         n[a, a] += s
-        np.maximum(n, 0, out=n)
         row[a] -= rw.sum()
         col[a] -= lw.sum()
-        lw[a], rw[a] = max(0.0, lw[a] - s), max(0.0, rw[a] - s)
+        lw[a] -= s
+        rw[a] -= s
         ls, rs = lw.sum() + s, rw.sum() + s
         c = slice(0, classes)
         gain = (_xlogx(n[:, c] + lw[:, None]) - _xlogx(n[:, c])).sum(axis=0) + (_xlogx(n[c, :] + rw[None, :]) - _xlogx(n[c, :])).sum(axis=1)
@@ -195,6 +180,10 @@ def exchange(of: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarra
         n[k, k] += s
         row[k] += rs
         col[k] += ls
+        if k != a:
+            for side, counts in ((left, big[w]), (right, big[:, w])):
+                side[:, a] -= counts
+                side[:, k] += counts
     return of
 
 
@@ -231,11 +220,11 @@ def _entries(names: np.ndarray, around: np.ndarray, n: np.ndarray, wide: int) ->
     return word[key // kinds], key % kinds, total
 
 
-def assign(n: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> np.ndarray:
+def assign(n: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, cost: float = 0.0) -> np.ndarray:
     """The class in which each word makes the likelihood greatest, all other words left where they are.
 
     n: class bigrams with each word in its home class; left, right: its bigrams by class of the neighbour,
-    own: with itself (a part of both).
+    own: with itself (a part of both).  cost: by how much the logarithm must rise for a word to leave home.
     """
     b = np.arange(len(home))
     lw, rw = left.copy(), right.copy()
@@ -262,14 +251,14 @@ def assign(n: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray,
         x[b, home] = np.maximum(0, x[b, home] - size)
         gain -= _xlogx(x + size[:, None]) - _xlogx(x)
     best = gain.argmax(axis=1)
-    return np.where(gain[b, home] >= gain[b, best] - 1e-9, home, best)
+    return np.where(gain[b, home] >= gain[b, best] - cost - 1e-9, home, best)
 
 
 def _placed(shared):
     """(word, shape, n, klass) from the rows of _neighbours in the order of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, homes = shared.value
+        n, homes, move = shared.value
         wide, kept = len(n), None
         for batch in chain(batches, (None,)):
             rows = kept
@@ -289,7 +278,7 @@ def _placed(shared):
             left, right = profile(around // (2 * wide) % wide), profile(around // 2 % wide)
             own = np.bincount(back, times * (around % 2), len(word))
             shape = around[first] // (2 * wide * wide)
-            klass = assign(n, homes[shape], left, right, own)
+            klass = assign(n, homes[shape], left, right, own, move * np.log(wide))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(shape.astype(np.int32)), pa.array(left.sum(axis=1).astype(np.int64)), pa.array(klass.astype(np.int32))], names=["word", "shape", "n", "klass"])
 
     return run
@@ -377,37 +366,44 @@ def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tup
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = int(END.view(np.int64))
     fetch = lambda df: [np.asarray(c) for c in df.toArrow().combine_chunks().columns]
-    often = (F.col("n") * WORD_UNITS >= total) | (F.col("word") == end)
-    unit_words, unit_counts = fetch(counted.where(often).select("word", "n"))
-    unit_words = unit_words.view(np.uint64)
+    words = counted.where(F.col("word") != end)
+    unit_words, unit_counts = fetch(words.orderBy(F.desc("n"), "word").limit(WORD_UNITS).select("word", "n"))
+    rest = words.where(F.lit(False))
+    if len(unit_words) == WORD_UNITS:
+        last, least = int(unit_words[-1]), int(unit_counts[-1])
+        rest = words.where((F.col("n") < least) | (F.col("n") == least) & (F.col("word") > last))
+    ends = fetch(counted.where(F.col("word") == end).select("word", "n"))
+    unit_words, unit_counts = np.append(unit_words, ends[0]).astype(np.int64).view(np.uint64), np.append(unit_counts, ends[1]).astype(np.int64)
     units = Units(np.unique(np.append(unit_words, END)))
     unit_tokens = np.zeros(units.count)
     unit_tokens[np.searchsorted(units.words, unit_words)] = unit_counts
     once = np.zeros(units.count)
-    for r in counted.where(~often).groupBy("shape").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")).collect():
+    for r in rest.groupBy("shape").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")).collect():
         unit_tokens[len(units.words) + r["shape"]], once[len(units.words) + r["shape"]] = r["n"], r["once"]
     drop(counted)
     shared = sc.broadcast(units)
     pairs = stored(texts.mapInArrow(tidied(_bigrams(shared)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "brown-pairs")
+    big = np.zeros((units.count, units.count))
+    parts = max(1, -(-pairs.count() // FETCHED))
+    for part in range(parts):
+        pair, n = fetch(pairs.where(F.pmod("pair", F.lit(parts)) == part))
+        big.reshape(-1)[pair] = n
+    drop(pairs)
     order = np.argsort(-unit_tokens, kind="stable")
     of = np.full(units.count, classes)
     of[order[:classes]] = np.arange(min(classes, units.count))
-    for turn in range(rounds + 1):
-        known = sc.broadcast(of)
-        wide = int(of.max()) + 1
-        sums = fetch(pairs.mapInArrow(tidied(_profiles(known)), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")))
-        flat = np.zeros(2 * units.count * wide + units.count)
-        flat[sums[0]] = sums[1]
-        left, right = flat[: 2 * units.count * wide].reshape(2, units.count, wide)
-        if turn < rounds:
-            of = exchange(of, left, right, flat[2 * units.count * wide :], classes)
-            of = np.where(of >= classes, np.arange(units.count) % classes, of)  # units without any bigram
-    between = np.zeros((wide, wide))
-    np.add.at(between.T, of, left)
-    drop(pairs)
+    for _ in range(rounds):
+        before, of = of, exchange(of, big, classes)
+        if (of == before).all():
+            break
+    of = np.where(of >= classes, np.arange(units.count) % classes, of)  # units without any bigram
+    wide = int(of.max()) + 1
+    member = np.eye(wide)[of]
+    between = member.T @ (big @ member)
+    del big, member
     entries = texts.mapInArrow(tidied(_neighbours(sc.broadcast((units, of)))), "word long, around long, n long")
     entries = entries.repartition("word").sortWithinPartitions("word")
-    words = stored(entries.mapInArrow(tidied(_placed(sc.broadcast((between, of[len(units.words) :])))), "word long, shape int, n long, klass int"), "brown-classes")
+    words = stored(entries.mapInArrow(tidied(_placed(sc.broadcast((between, of[len(units.words) :], MOVE)))), "word long, shape int, n long, klass int"), "brown-classes")
     word, count, klass = fetch(words.where(F.col("n") * DICTIONARY >= total).select("word", "n", "klass"))
     unit_class = of[np.searchsorted(units.words, unit_words)]
     lexicon = Lexicon(units, of, np.append(word.view(np.uint64), unit_words), np.append(count, unit_counts).astype(np.int64), np.append(klass, unit_class).astype(np.int64))
