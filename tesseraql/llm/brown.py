@@ -203,8 +203,8 @@ def _neighbours(shared):
                 i = np.flatnonzero(unit >= len(units.words))
                 before = np.append(of[units.end], klass[:-1])[i]
                 around = ((shapes[i] * wide + before) * wide + klass[i + 1]) * 2 + (names[i] == names[i + 1])
-                parts.append(_entries(names[i], around, np.ones(len(i), np.int64), wide))
-                size += len(parts[-1][0])
+                parts.append((names[i], around))
+                size += len(i)
                 if size > 400_000 or end == len(batch):
                     word, around, n = _entries(*map(np.concatenate, zip(*parts)), wide)
                     parts, size = [], 0
@@ -213,11 +213,11 @@ def _neighbours(shared):
     return run
 
 
-def _entries(names: np.ndarray, around: np.ndarray, n: np.ndarray, wide: int) -> tuple[np.ndarray, ...]:
+def _entries(names: np.ndarray, around: np.ndarray, wide: int) -> tuple[np.ndarray, ...]:
     word, back = np.unique(names, return_inverse=True)
     kinds = SHAPES * wide * wide * 2
-    key, total, _ = _summed([back * kinds + around], [n])
-    return word[key // kinds], key % kinds, total
+    key, n = np.unique(back * kinds + around, return_counts=True)
+    return word[key // kinds], key % kinds, n
 
 
 def assign(n: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, cost: float = 0.0) -> np.ndarray:
@@ -458,7 +458,8 @@ def _rare(model):
                 right = klass[at + 1]
                 following = np.where(right < 0, names[at + 1], np.uint64(0))
                 facts = (names[at], before[at], right, following, doc)
-                order = np.lexsort(facts)
+                # equal facts stand beside each other, for they have equal sums; whether they are equal is seen from themselves
+                order = np.argsort(sum(mix(f.astype(np.uint64) + np.uint64(k << 56)) for k, f in enumerate(facts)), kind="stable")
                 at, doc, right = at[order], doc[order], right[order]
                 new = np.flatnonzero(np.append(True, np.any([f[order][1:] != f[order][:-1] for f in facts], axis=0)))
                 times = np.diff(np.append(new, len(at)))
