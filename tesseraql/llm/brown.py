@@ -302,31 +302,6 @@ class Lexicon:
         return unit, known[back], count, klass, np.append(self.of[self.units.end], klass[:-1])
 
 
-def _steps(lexicon):
-    """(word, before, after, next, n): class pairs have no word; a rarer word has the classes around it, or the next word if that is rarer too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = lexicon.value
-        wide = int(lex.of.max()) + 1
-        for batch in batches:
-            pairs, rare = np.zeros(wide * wide, np.int64), []
-            for _, _, names, shapes, _ in _tokens(batch.column(0)):
-                _, _, _, klass, before = lex.look(names, shapes)
-                both = (klass >= 0) & (before >= 0)
-                pairs += np.bincount(before[both] * wide + klass[both], minlength=wide * wide)
-                i = np.flatnonzero(klass < 0)
-                rare.append((names[i], before[i], klass[i + 1], names[i + 1]))
-            at = np.flatnonzero(pairs)
-            names, before, after, following = map(np.concatenate, zip(*rare)) if rare else [np.zeros(0, np.int64)] * 4
-            small = lambda *x: pa.array(np.concatenate(x).astype(np.int32))
-            word = pa.array(np.append(np.zeros(len(at), np.int64), names.view(np.int64)), mask=np.arange(len(at) + len(names)) < len(at))
-            after_word = pa.array(np.append(np.zeros(len(at), np.int64), following.view(np.int64)), mask=np.append(np.ones(len(at), bool), after >= 0))
-            n = pa.array(np.append(pairs[at], np.ones(len(names), np.int64)))
-            yield pa.RecordBatch.from_arrays([word, small(at // wide, before), small(at % wide, after), after_word, n], names=["word", "before", "after", "next", "n"])
-
-    return run
-
-
 class ClassModel:
     """What scoring needs, all of bounded size: logarithms to base 10 and the dictionary of counts and classes.
 
@@ -359,6 +334,15 @@ class ClassModel:
 
 def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[ClassModel, DataFrame]:
     """The model of a frame with one text column, and the table (word, shape, n, klass) of all its words but the units."""
+    none = F.lit(0).cast("long")
+    model, words, gathered = _train(texts.select(none.alias("doc_id"), F.lit(False).alias("held_out"), none.alias("salt"), F.col(texts.columns[0]).alias("text")), classes, rounds)
+    drop(gathered)
+    return model, words
+
+
+def _train(rows: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[ClassModel, DataFrame, DataFrame]:
+    """As train(), from rows (doc_id, held_out, salt, text) that are not held out, with what _gathered() found in all rows."""
+    texts = rows.where(~F.col("held_out")).select("text")
     spark = texts.sparkSession
     sc = spark.sparkContext
     counted = texts.mapInArrow(tidied(_vocabulary), "word long, shape int, n long").groupBy("word").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
@@ -410,21 +394,19 @@ def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tup
     class_tokens = np.bincount(unit_class, unit_counts, wide)
     for r in words.groupBy("klass").agg(F.sum("n").alias("n")).collect():
         class_tokens[r["klass"]] += r["n"]
-    steps = stored(texts.mapInArrow(tidied(_steps(sc.broadcast(lexicon))), "word long, before int, after int, next long, n long"), "brown-steps")
-    rarer = words.where(F.col("n") * DICTIONARY < total).select("word", "klass")
-    first = steps.where("word is not null").join(rarer, "word")
-    second = first.where("next is not null").select("klass", F.col("next").alias("word")).join(rarer.withColumnRenamed("klass", "after"), "word")
+    gathered = _gathered(rows, sc.broadcast(lexicon), words, total)
     class_pairs = np.zeros((wide, wide))
-    a, b, n = fetch(steps.where("word is null").groupBy("before", "after").agg(F.sum("n")))
-    np.add.at(class_pairs, (a, b), n)
-    a, c, b, n = fetch(first.groupBy("before", "klass", "after").agg(F.count("*")))
-    np.add.at(class_pairs, (a[a >= 0], c[a >= 0]), n[a >= 0])
-    np.add.at(class_pairs, (c[b >= 0], b[b >= 0]), n[b >= 0])
-    a, b, n = fetch(second.groupBy("klass", "after").agg(F.count("*")))
-    np.add.at(class_pairs, (a, b), n)
-    drop(steps)
+    mine = gathered.where(~F.col("held_out"))
+    ends_ = F.array(
+        F.when(~F.col("rare") & (F.col("before") >= 0), F.struct("before", F.col("after").alias("k"))),
+        F.when(F.col("rare") & (F.col("before") >= 0), F.struct("before", F.col("klass").alias("k"))),
+        F.when(F.col("rare"), F.struct(F.col("klass").alias("before"), F.when(F.col("after") >= 0, F.col("after")).otherwise(F.col("next_class")).alias("k"))),
+    )
+    counted = mine.select(F.explode(F.array_compact(ends_)).alias("e"), "times").groupBy("e.before", "e.k").agg(F.sum("times").alias("n"))
+    a, b, n = fetch(counted.select("before", "k", "n"))
+    class_pairs[a, b] = n
     unit_tokens[len(units.words) :] = once[len(units.words) :]
-    return ClassModel(lexicon, class_pairs, class_tokens, unit_tokens, total, distinct), words
+    return ClassModel(lexicon, class_pairs, class_tokens, unit_tokens, total, distinct), words, gathered
 
 
 _ROW = "doc_id {}, held_out boolean, salt long, rows long, n_tokens long, n_known long, base double, score double"
@@ -446,12 +428,23 @@ def _local(model):
 _RARE = ["doc_id", "held_out", "salt", "word", "shape", "before", "after", "next", "next_shape", "times"]
 
 
-def _rare(model):
+def _rare(lexicon):
+    """The rarer words of each row with the classes around them, or the next word if that is rarer too; and, without
+    a word, the class pairs of rows that are not held out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        lex = lexicon.value
+        wide = int(lex.of.max()) + 1
+        small = lambda x: pa.array(x.astype(np.int32))
         for batch in batches:
+            pairs = np.zeros(wide * wide, np.int64)
+            held = np.asarray(batch.column(1).fill_null(False).to_numpy(zero_copy_only=False), bool)
             for row, end, names, shapes, starts in _tokens(batch.column(3)):
-                at, klass, before = m.local(names, shapes, starts)[3:]
+                _, _, _, klass, before = lex.look(names, shapes)
+                size = np.diff(np.append(starts, len(names)))
+                both = (klass >= 0) & (before >= 0) & ~np.repeat(held[row:end], size)
+                pairs += np.bincount(before[both] * wide + klass[both], minlength=wide * wide)
+                at = np.flatnonzero(klass < 0)
                 if not len(at):
                     continue
                 doc = np.searchsorted(starts, at, "right") - 1
@@ -466,33 +459,61 @@ def _rare(model):
                 take = pa.array(doc[new] + row)
                 at, right = at[new], right[new]
                 keys = [batch.column(k).take(take) for k in range(3)]
-                small = lambda x: pa.array(x.astype(np.int32))
                 following = pa.array(names[at + 1].view(np.int64), mask=right >= 0)
                 yield pa.RecordBatch.from_arrays([*keys, _signed(names[at]), small(shapes[at]), small(before[at]), small(right), following, small(shapes[at + 1]), pa.array(times)], names=_RARE)
+            at = np.flatnonzero(pairs)
+            none = lambda kind: pa.nulls(len(at), kind)
+            keys = [none(batch.column(0).type), pa.array(np.zeros(len(at), bool)), none(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*keys, none(pa.int64()), none(pa.int32()), small(at // wide), small(at % wide), none(pa.int64()), none(pa.int32()), pa.array(pairs[at])], names=_RARE)
 
     return run
 
 
+def _gathered(rows: DataFrame, lexicon, words: DataFrame, total: int) -> DataFrame:
+    """What _rare() finds, with the count and class of each rarer word and the class of a rarer next one; words that
+    the training texts lack have those of their groups."""
+    lex = lexicon.value
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    of = F.from_json(F.lit(json.dumps(lex.of[len(lex.units.words) :].tolist())), "array<int>")
+    rare = rows.mapInArrow(tidied(_rare(lexicon)), f"doc_id {kind}, held_out boolean, salt long, word long, shape int, before int, after int, next long, next_shape int, times long")
+    rarer = words.where(F.col("n") * DICTIONARY < total).select(F.col("word").alias("key"), "n", "klass")
+    # rows without a word, or without a rarer word next, are spread over the joins by numbers of their own
+    found = rare.withColumn("rare", F.col("word").isNotNull()).withColumn("key", F.coalesce("word", F.xxhash64("before", "after", "times")))
+    found = found.join(rarer, "key", "left").withColumn("klass", F.coalesce("klass", F.element_at(of, F.col("shape") + 1))).drop("key")
+    found = found.withColumn("key", F.coalesce("next", F.xxhash64("doc_id", "salt", "word", "before", "after")))
+    found = found.join(rarer.select("key", F.col("klass").alias("next_class")), "key", "left").withColumn("next_class", F.coalesce("next_class", F.element_at(of, F.col("next_shape") + 1)))
+    return stored(found.select("doc_id", "held_out", "salt", "rare", "shape", "before", "after", "times", "n", "klass", "next_class"), "brown-gathered")
+
+
+def _rows(df: DataFrame, doc_id: str, text: str, held_out) -> DataFrame:
+    return df.select(F.col(doc_id).alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.xxhash64(text).alias("salt"), F.col(text).alias("text"))
+
+
 def score(df: DataFrame, model: ClassModel, words: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out=None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each row.
 
     A row is known by its id and a hash of its text; equal rows are folded and told apart again at the end.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(F.col(doc_id).alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.xxhash64(text).alias("salt"), F.col(text).alias("text"))
+    rows = _rows(df, doc_id, text, held_out)
+    return _scored(rows, model, _gathered(rows, df.sparkSession.sparkContext.broadcast(model.lexicon), words, model.total))
+
+
+def train_and_score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out=None) -> DataFrame:
+    """score() of all rows by the model of those that are not held out; their rarer words are looked up once for both."""
+    rows = _rows(df, doc_id, text, held_out)
+    model, _, gathered = _train(rows)
+    return _scored(rows, model, gathered)
+
+
+def _scored(rows: DataFrame, model: ClassModel, gathered: DataFrame) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
     local = rows.mapInArrow(tidied(_local(shared)), _ROW.format(kind))
-    rare = rows.mapInArrow(tidied(_rare(shared)), f"doc_id {kind}, held_out boolean, salt long, word long, shape int, before int, after int, next long, next_shape int, times long")
     listed = lambda x: F.from_json(F.lit(json.dumps(x.reshape(-1).tolist())), "array<double>")
     groups = len(model.units.words)
-    wide, step, norm = len(model.step), listed(model.step), listed(model.norm)
-    unseen, of = listed(model.emit[groups:]), F.from_json(F.lit(json.dumps(model.of[groups:].tolist())), "array<int>")
+    wide, step, norm, unseen = len(model.step), listed(model.step), listed(model.norm), listed(model.emit[groups:])
     stepped = lambda a, b: F.element_at(step, F.col(a) * wide + F.col(b) + 1)
-    rarer = words.where(F.col("n") * DICTIONARY < model.total)
-    counted = rare.join(rarer.select("word", "n", "klass"), "word", "left").withColumn("klass", F.coalesce("klass", F.element_at(of, F.col("shape") + 1)))
-    # rows without a rarer word next are spread over the join by a number of their own
-    counted = counted.withColumn("key", F.coalesce("next", F.xxhash64("doc_id", "salt", "word", "before", "after")))
-    counted = counted.join(rarer.select(F.col("word").alias("key"), F.col("klass").alias("next_class")), "key", "left").withColumn("next_class", F.coalesce("next_class", F.element_at(of, F.col("next_shape") + 1)))
+    counted = gathered.where("rare")
     n = F.coalesce("n", F.lit(0))
     zero, none = F.lit(0).cast("long"), F.lit(0.0)
     emit = F.when(n > 0, F.log10(n.cast("double")) - F.element_at(norm, F.col("klass") + 1)).otherwise(F.element_at(unseen, F.col("shape") + 1))
@@ -504,10 +525,7 @@ def score(df: DataFrame, model: ClassModel, words: DataFrame, doc_id: str = "doc
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    held = remainder("doc_id", 7) == 2
-    model, words = train(docs.where(~held).select("text"))
-    return score(docs, model, words, held_out=held)
+    return train_and_score(table(spark, sf_dir, "documents"), held_out=remainder("doc_id", 7) == 2)
 
 
 QUERIES = {"op7_language_model": op7_language_model}
