@@ -3,14 +3,15 @@
 The BPE encoding of a word is the only token sequence whose tokens are each their own
 encoding and whose neighbours are compatible (the pair is the encoding of its own text), and
 each prefix of such a sequence is the encoding of that prefix.  So for every prefix one last
-token is stored: among the vocabulary entries that end there (an automaton with suffix links
-yields them), the one compatible with the last token of the prefix before it.  Following the
+token is stored: among the vocabulary entries that end there (an Aho-Corasick automaton over the
+vocabulary, whose suffix links are those of a suffix automaton of it, yields them), the one compatible with the last token of the prefix before it.  Following the
 stored tokens back from the end gives the ids.  No merge loop runs over the word.
 
 A worker remembers the ids of at most MEMO short words (those met lately) and, in a table of
 PAIRS places that each hold the pair met last, which pairs are compatible: some 20 MB in all.
 
-Cases: null text is encoded as an empty text; an empty text has no ids and decodes to ''.
+Cases: null text is encoded as an empty text; an empty text has no ids and decodes to ''; texts and words
+of any length are encoded whole.
 Repeated rows give repeated results; an empty table gives an empty one; an input column with
 the name of a result column is replaced.
 """
@@ -211,8 +212,9 @@ class PrefixBPE:
 
         For composed Latin letters the general rules come down to one pattern over the text in lower case.
         """
-        if self.plain_rules and "<|" not in text and not _OTHER.search(text):
-            return self._ids(_LATIN.findall(text.lower()), self._latin_memo, False)
+        low = text.lower()
+        if self.plain_rules and "<|" not in text and not _OTHER.search(low):  # some lower-case forms are further up
+            return self._ids(_LATIN.findall(low), self._latin_memo, False)
         out: list[int] = []
         for raw in text.encode().split():  # bytes.split: exactly the ASCII white space
             out += self._unspaced(raw.decode())

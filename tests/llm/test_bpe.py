@@ -27,6 +27,20 @@ def test_random_texts(both):
         assert mine.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_the_pattern_for_latin_letters_changes_nothing(both, monkeypatch):
+    """The same ids with the tokenizer's own rules alone, and however few words and pairs are remembered."""
+    mine, lib = both
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(1, 0x250)] + ["'s", "'LL", "1st", " ", "\n", "e\u0301"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["Plain words, don't they'll 12 3!"]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert mine.plain_rules and [mine.encode(t) for t in texts] == want
+    monkeypatch.setattr(mine, "plain_rules", False)
+    assert [mine.encode(t) for t in texts] == want
+    monkeypatch.setattr(bpe, "MEMO", 4)
+    assert [mine.encode(t) for t in texts] == want
+
+
 def test_every_token_that_stands_for_itself(both):
     mine, _ = both
     sample = list(mine.parts)[::97]

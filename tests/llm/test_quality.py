@@ -58,3 +58,18 @@ def test_clean_documents_stay(spark):
     assert docs.count() == 1000
     assert all(r.kept for r in rows if r.quality == 1 and not r.base_failed)
     assert not any(r.kept for r in rows if r.quality == 0)
+
+
+def test_policies_over_a_stored_ledger(spark, tmp_path):
+    """Later policies and ablations read the ledger, not the texts."""
+    texts = ["word " * 10, " ".join(f"w{n}" for n in range(80)), "| a " * 60, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = Q.store(df, f"file://{tmp_path}/ledger")
+    assert "text" not in kept.columns
+    want = {r.doc_id: r.failed for r in Q.ledger(df).collect()}
+    assert {r.doc_id: r.failed for r in kept.collect()} == want
+    for version in Q.POLICIES:
+        passing = {r.doc_id for r in kept.where(Q.kept(version)).collect()}
+        assert passing == {i for i, bits in want.items() if not bits & Q.mask(Q.POLICIES[version])} and 1 in passing
+    alone = {r.rule: (r.failing, r.alone) for r in Q.ablations(kept).collect()}
+    assert alone["few_words"][0] == 2
