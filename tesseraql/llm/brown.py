@@ -53,6 +53,7 @@ FETCHED = 1 << 20
 #: Pseudo-counts of the class transitions and of units in their classes.
 ALPHA, DELTA = 5.0, 0.5
 END = np.uint64(0xE0D0F0C0B0A09080)
+HIGH = np.uint64(48)
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -63,10 +64,9 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         at = np.arange(n) + words.documents()
         names, shapes = np.full(n + docs, END, np.uint64), np.zeros(n + docs, np.int64)
         names[at] = words.hashes(lower=True)
-        code = np.zeros(n, np.uint64)
+        code, size = np.zeros(n, np.uint64), words.ends - words.starts
         for k in (1, 2, 3):
-            p = words.ends - k
-            code = code << np.uint64(8) | np.where(p >= words.starts, LOWER[raw[np.maximum(p, 0)]], 0).astype(np.uint64) if n else code
+            code = code << np.uint64(8) | np.where(size >= k, LOWER[raw[np.maximum(words.ends - k, 0)]], 0).astype(np.uint64) if n else code
         shapes[at] = (mix(code) % np.uint64(SHAPES)).astype(np.int64)
         yield row, end, names, shapes, words.first[:-1] + np.arange(docs)
 
@@ -115,10 +115,16 @@ class Units:
         self.words = np.sort(words)
         self.count = len(words) + SHAPES
         self.end = int(np.searchsorted(self.words, END))
+        # the first unit of each value of the highest 16 bits; few values have two
+        self.first = np.minimum(np.searchsorted(self.words, np.arange(1 << 16, dtype=np.uint64) << HIGH), len(words) - 1)
+        self.crowded = np.bincount((self.words >> HIGH).astype(np.int64), minlength=1 << 16) > 1
 
     def of(self, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        at, known = _find(self.words, words)
-        return np.where(known, at, len(self.words) + shapes)
+        high = words >> HIGH
+        at = self.first[high]
+        more = np.flatnonzero(self.crowded[high])
+        at[more] = _find(self.words, words[more])[0]
+        return np.where(self.words[at] == words, at, len(self.words) + shapes)
 
 
 def _bigrams(units):
@@ -289,17 +295,23 @@ class Lexicon:
 
     def __init__(self, units: Units, of: np.ndarray, words: np.ndarray, counts: np.ndarray, klass: np.ndarray):
         self.units, self.of = units, of
+        absent = np.setdiff1d(units.words, words)
+        unit = np.searchsorted(units.words, absent)
+        words, counts, klass = np.append(words, absent), np.append(counts, np.zeros(len(absent), np.int64)), np.append(klass, of[unit])
         self.words, self.counts, self.klass = _sorted(words, counts, klass)
+        # of each unit, and -1 of each group; a rarer word has the last of the classes
+        self.place = np.append(np.searchsorted(self.words, units.words), np.full(SHAPES, -1))
+        self.classes = np.append(self.klass, -1)
 
     def look(self, names: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Unit, whether the word is known here, its count, its class and that of the token before (-1: a rarer word)."""
-        unit = self.units.of(names, shapes)
-        word, back = np.unique(names, return_inverse=True)
+        """Place of each token's word here (-1: a rarer word), its class and that of the token before (-1: as above)."""
+        place = self.place[self.units.of(names, shapes)]
+        i = np.flatnonzero(place < 0)
+        word, back = np.unique(names[i], return_inverse=True)
         at, known = _find(self.words, word)
-        count = np.where(known, self.counts[at] if len(self.counts) else 0, 0)[back]
-        klass = np.where(known, self.klass[at] if len(self.klass) else 0, -1)[back]
-        klass = np.where(unit < len(self.units.words), self.of[unit], klass)
-        return unit, known[back], count, klass, np.append(self.of[self.units.end], klass[:-1])
+        place[i] = np.where(known, at, -1)[back]
+        klass = self.classes[place]
+        return place, klass, np.append(self.of[self.units.end], klass[:-1])
 
 
 class ClassModel:
@@ -320,16 +332,19 @@ class ClassModel:
         self.emit = np.log10(unit_tokens + DELTA) - self.norm[self.of]
         # a group is one event, an unseen word: nothing is shared out within it
         self.within = self.unseen = np.zeros(SHAPES)
+        # of each word of the lexicon, and 0 for a rarer one
+        count, unit = lexicon.counts, lexicon.place[:groups]
+        emit = np.log10(np.maximum(count, 1)) - self.norm[lexicon.klass]
+        emit[unit] = self.emit[:groups]
+        self.word_emit, self.word_base, self.word_known = np.append(emit, 0.0), np.append(np.log10(count + 1.0), 0.0), np.append(count > 0, False).astype(np.int64)
 
     def local(self, names: np.ndarray, shapes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         """By text: known tokens, base and score without what the rarer words add; and these words (token places), with all tokens' classes and those before."""
-        unit, known, count, klass, before = self.lexicon.look(names, shapes)
-        score = np.where((klass >= 0) & (before >= 0), self.step[before, klass], 0.0)
-        single = unit < len(self.units.words)
-        score += np.where(single, self.emit[unit], np.where(klass >= 0, np.log10(np.maximum(count, 1)) - self.norm[klass], 0.0))
-        base = np.where(known, np.log10(count + 1.0), 0.0) - np.log10(self.total + self.distinct + 1.0)
+        place, klass, before = self.lexicon.look(names, shapes)
+        score = np.where((klass >= 0) & (before >= 0), self.step[before, klass], 0.0) + self.word_emit[place]
+        base = self.word_base[place] - np.log10(self.total + self.distinct + 1.0)
         per = lambda x: np.add.reduceat(x, starts)
-        return per((known & (count > 0)).astype(np.int64)), per(base), per(score), np.flatnonzero(klass < 0), klass, before
+        return per(self.word_known[place]), per(base), per(score), np.flatnonzero(klass < 0), klass, before
 
 
 def train(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[ClassModel, DataFrame]:
@@ -440,7 +455,7 @@ def _rare(lexicon):
             pairs = np.zeros(wide * wide, np.int64)
             held = np.asarray(batch.column(1).fill_null(False).to_numpy(zero_copy_only=False), bool)
             for row, end, names, shapes, starts in _tokens(batch.column(3)):
-                _, _, _, klass, before = lex.look(names, shapes)
+                _, klass, before = lex.look(names, shapes)
                 size = np.diff(np.append(starts, len(names)))
                 both = (klass >= 0) & (before >= 0) & ~np.repeat(held[row:end], size)
                 pairs += np.bincount(before[both] * wide + klass[both], minlength=wide * wide)

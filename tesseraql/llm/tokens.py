@@ -36,7 +36,7 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 
 class _Places:
-    """Odd multipliers for byte places, made as long as words ask for."""
+    """Odd multipliers for places of blocks, made as long as words ask for."""
 
     def __init__(self, seed: int):
         self.seed, self.table = seed, stream(seed, 256) | U(1)
@@ -47,7 +47,10 @@ class _Places:
         return self.table
 
 
-_BYTES, _PLACES = stream(101, 256), _Places(102)
+#: Words are hashed by blocks of BLOCK bytes; FILLED keeps the bytes of a block that a word fills.
+BLOCK = 8
+FILLED = np.array([(1 << 8 * k) - 1 for k in range(BLOCK + 1)], np.uint64)
+_PLACES = _Places(102)
 
 
 def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -94,13 +97,21 @@ class Words:
         if not len(self):
             return np.zeros(0, np.uint64)
         size = self.ends - self.starts
-        chars = self.raw[self.inside]
-        if lower:
-            chars = LOWER[chars]
-        at = np.cumsum(size) - size
-        place = np.arange(len(chars)) - np.repeat(at, size)
-        value = _BYTES[chars] * _PLACES.upto(int(size.max()))[place]
-        return mix(np.add.reduceat(value, at) + size.astype(np.uint64))
+        padded = np.zeros(len(self.raw) + BLOCK, np.uint8)
+        padded[: len(self.raw)] = LOWER[self.raw] if lower else self.raw
+        block = np.ndarray(len(self.raw) + 1, np.dtype("<u8"), padded, strides=(1,))  # of every place, unaligned
+        blocks = (size + BLOCK - 1) // BLOCK
+        places = _PLACES.upto(int(blocks.max()))
+        total = mix((block[self.starts] & FILLED[np.minimum(size, BLOCK)]) * places[0])
+        long = np.flatnonzero(blocks > 1)
+        if len(long):
+            more = blocks[long] - 1
+            at = np.cumsum(more) - more
+            word = np.repeat(long, more)
+            k = np.arange(len(word)) - np.repeat(at, more) + 1
+            value = block[self.starts[word] + BLOCK * k] & FILLED[np.minimum(size[word] - BLOCK * k, BLOCK)]
+            total[long] += np.add.reduceat(mix(value * places[k]), at)
+        return mix(total + size.astype(np.uint64))
 
     def documents(self) -> np.ndarray:
         """The document of each word, as a number in the chunk."""
